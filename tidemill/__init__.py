@@ -1,0 +1,2 @@
+"""Specification filters over related tables, ordered message logs, idempotent ingestion, workflow outcomes and column
+encryption as Spark jobs."""
