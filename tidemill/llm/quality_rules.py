@@ -36,16 +36,16 @@ COUNTS = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols",
 
 
 def line_fails(line: str) -> str | None:
-    """The rule that a line with a word fails, or None."""
+    """The first rule that a line with a word fails, or None."""
     words = line.encode("utf-8", "surrogatepass").split()
     bare = line.strip(BLANKS)
     ended = bare.endswith(TERMINAL)
     symbols = sum(map(bare.count, SYMBOLS))
-    if 10 * symbols > word_chars(bare) or len(words) < SHORT_LINE and not ended:
-        return "punctuation"
     low = b" ".join(words).lower().decode("utf-8", "surrogatepass")
     if sum(map(bare.count, SEPARATORS)) >= 2 and not ended or all(w in NAVIGATION for w in low.split(" ")):
         return "navigation"
+    if 10 * symbols > word_chars(bare) or len(words) < SHORT_LINE and not ended:
+        return "punctuation"
     return "boilerplate" if any(p in low for p in BOILERPLATE) else None
 
 
@@ -102,7 +102,7 @@ def assess(docs: DataFrame, max_lost: float = MAX_LOST, text: str = "text") -> D
     small_batches(docs.sparkSession)
     added = [T.StructField(n, t) for n, t in COUNTS] + [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("lost_chars", T.LongType()), T.StructField("clean_text", T.StringType())]
     names = {f.name for f in added}
-    df = docs.select(*[c for c in docs.columns if c not in names], text_or_empty(text).alias("__whole"))
+    df = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], text_or_empty(text).alias("__whole"))
     schema = T.StructType([*[f for f in df.schema if f.name != "__whole"], *added])
     types = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.int64(), pa.string()]
 

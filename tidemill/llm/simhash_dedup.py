@@ -55,16 +55,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) for every row of docs."""
+    """(doc_id, mark, fp) for every row of docs; mark: a hash of the text, which tells rows without an id apart."""
     small_batches(docs.sparkSession)
-    df = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty().alias("t"))
+    df = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty().alias("t")).select("doc_id", "t", F.xxhash64("t").alias("mark"))
 
     def run(batches):
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, shingle) for t in texts], type=pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([fingerprint(t, shingle) for t in texts], type=pa.int64())], names=["doc_id", "mark", "fp"])
 
-    return df.mapInArrow(run, "doc_id bigint, fp bigint")
+    return df.mapInArrow(run, "doc_id bigint, mark bigint, fp bigint")
 
 
 def _mask(segments: list[int]) -> int:
@@ -104,7 +104,7 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def cluster(prints: DataFrame) -> DataFrame:
-    """(doc_id, fp) with component_id, the smallest doc_id that the row's document reaches, itself included.
+    """prints (doc_id, fp, ...) with component_id, the smallest doc_id that the row's document reaches, itself included.
 
     Rows with a null doc_id take part, but give no name; a component without any id has component_id null. Repeated rows
     each get their component.
@@ -116,7 +116,7 @@ def cluster(prints: DataFrame) -> DataFrame:
     labelled = cut(labelled, "ring-labels")
     names = cut(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "ring-names")
     final = cut(labelled.join(names, "root").select("fp", "component_id"), "ring-final")
-    return prints.join(final, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(final, "fp").select(*prints.columns, "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -132,9 +132,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs that give their component its name, in the columns they had; of repeated rows one stays.
 
-    Rows without an id stay only in components without any id.
+    Rows without an id stay only in components without any id, one of each text.
     """
-    stays = cluster(fingerprints(docs, shingle)).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    stays = cluster(fingerprints(docs, shingle)).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__mark")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text")))
     return kept.withColumn("__place", place).where("__place = 1").drop("__place")
