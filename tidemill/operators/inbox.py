@@ -6,6 +6,7 @@ is eligible once all messages that it depends on are processed; those that wait
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
@@ -82,7 +83,7 @@ class Inbox:
     """Messages and acknowledgements in log tables under a folder; one sequence numbers receipts and acknowledgements."""
 
     def __init__(self, spark: SparkSession, path: str, key: Column | None = None):
-        self.spark, self.key = spark, by_uri() if key is None else key
+        self.spark, self.path, self.key = spark, path, by_uri() if key is None else key
         self.messages = LogTable(spark, f"{path}/messages", MESSAGES)
         self.acks = LogTable(spark, f"{path}/acks", ACKS)
 
@@ -108,15 +109,16 @@ class Inbox:
         everything = stored.select(*KEY, "metadata").unionByName(fresh.select(*KEY, "metadata"))
         if event_id_conflicts(everything).limit(1).count():
             raise ValueError("duplicate event_id under another key")
-        # Numbers in order without one task for all rows: a number per sorted partition, after the partitions before it.
-        sorted_ = fresh.orderBy("received_position").withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()})
-        counts = {r["__p"]: r["n"] for r in sorted_.groupBy("__p").agg(F.count("*").alias("n")).collect()}
-        before, run = {}, start
-        for p in sorted(counts):
-            before[p], run = run, run + counts[p]
-        base = F.lit(start) if not before else F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__p"))
-        number = base + (F.col("__i") - F.shiftleft(F.col("__p").cast("bigint"), 33)) + 1
-        self.messages.append(sorted_.withColumn("received_position", number))
+        # Numbers in order without one task for all rows: a number within each sorted part, after the parts before it.
+        # The parts are written first, so that counting and numbering see the same ones.
+        staged = f"{self.path}/staged/{uuid.uuid4().hex}"
+        fresh.orderBy("received_position").withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}).write.parquet(staged)
+        parts = self.spark.read.parquet(staged)
+        counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
+        before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n"))  # a row per part
+        number = F.lit(start) + F.col("__before") + (F.col("__i") - F.shiftleft(F.col("__p").cast("bigint"), 33)) + 1
+        self.messages.append(parts.join(before, "__p").withColumn("received_position", number))
+        self.messages.delete(staged)
 
     def read(self) -> DataFrame:
         return self.messages.read().drop("commit_id")
