@@ -152,6 +152,13 @@ def test_inbox_failure_and_waves(spark, tmp_path):
     assert sorted(box.eligible(w, 2).count() for w in range(2)) == [0, 0]
 
 
+def test_waves(spark):
+    rows = [message("A", 1, 1), message("B", 1, 2), message("A", 2, 3, [("A", 1), ("B", 1)]), message("C", 1, 4, [("A", 2)]), message("D", 1, 5, [("E", 1)])]
+    table = spark.createDataFrame(rows, INBOX).withColumn("stream_id", F.lit('{"id":1}'))
+    found = i.waves(table, i.dependency_edges(table), lambda t: t.checkpoint())
+    assert {(r["stream_type"], r["stream_position"]): r["wave"] for r in found.collect()} == {("A", 1): 0, ("B", 1): 0, ("A", 2): 1, ("C", 1): 2}
+
+
 def test_drain_order_against_a_worker(spark):
     rng = random.Random(1)
     rows = [("t", f"s{s}", "{}", p, r) for r, (s, p) in enumerate(sorted(((s, p) for s in range(6) for p in range(1, 12) if rng.random() < 0.9), key=lambda _: rng.random()))]

@@ -80,6 +80,8 @@ def test_addresses_and_names(spark):
     assert {(r["uri"], r["activity"], r["direction"]) for r in saga.deliveries(sent, known).collect()} == {("sb://./A", "A", "forward"), ("sb://./BCompensation", "B", "backward")}
     names = spark.createDataFrame([("car", "A", 1), ("car", "B", 2)], "name string, activity string, registered_no int")
     assert [tuple(r) for r in saga.resolver(names).collect()] == [("car", "B")]
+    assert {tuple(r) for r in saga.wire_names(names, known).collect()} == {("A", "car", True), ("B", "car", True)}
+    assert [tuple(r) for r in saga.wire_names(names.limit(0), known.limit(1)).collect()] == [("A", "A", False)]
     with pytest.raises(PySparkException):
         saga.resolver(names.withColumn("name", F.lit(""))).collect()
 

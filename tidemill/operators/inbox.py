@@ -72,6 +72,20 @@ def drain_order(messages: DataFrame) -> DataFrame:
     return messages.withColumns({"drain_key": key, "__n": F.row_number().over(stream)}).where("stream_position = __n").drop("__n")
 
 
+def waves(messages: DataFrame, edges: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, wave): in which round each message becomes eligible, for dependencies of any shape; those that never do are left out.
+
+    One round for each depth of dependencies. step writes a round's table and reads it back, so that plans stay short.
+    """
+    done, left, n = None, messages.select(*KEY), 0
+    while True:
+        acks = messages.limit(0).select(*KEY) if done is None else done
+        ready = step(eligible(left, edges, acks).select(*KEY).withColumn("wave", F.lit(n).cast("bigint")))
+        if not ready.limit(1).count():
+            return ready if done is None else done
+        done, n = ready if done is None else done.unionByName(ready), n + 1
+
+
 def lag(messages: DataFrame, acks: DataFrame) -> DataFrame:
     """(lag): how far the last processed position is behind the last received one."""
     received = messages.agg(F.max("received_position").alias("r"))

@@ -96,6 +96,13 @@ def resolver(registrations: DataFrame) -> DataFrame:
     return checked.groupBy("name").agg(F.max_by("activity", "registered_no").alias("activity"))
 
 
+def wire_names(registrations: DataFrame, activities: DataFrame) -> DataFrame:
+    """(activity, name, registered): the name under which an activity travels, the last one registered for it or else its
+    own. One that isn't registered can't be read back."""
+    named = registrations.groupBy("activity").agg(F.max_by("name", "registered_no").alias("__name"))
+    return activities.join(named, "activity", "left").select("activity", F.coalesce("__name", "activity").alias("name"), F.col("__name").isNotNull().alias("registered"))
+
+
 def run_hosts(steps: DataFrame, limit: int = 10_000) -> DataFrame:
     """(saga_id, delivery, direction, activity, result): every delivery of every workflow, with compensations that can refuse.
 

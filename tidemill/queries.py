@@ -286,6 +286,12 @@ def outbox_worker_groups(spark, sf_dir):
     return events.join(names, "worker").select("event_id", "own_group", "worker")
 
 
+@query("SELECT md5(CAST(event_id % 9000 AS VARCHAR)) AS event_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1 HAVING count(*) > 1")
+def outbox_duplicate_events(spark, sf_dir):
+    meta = F.concat(F.lit('{"event_id":"'), F.md5((F.col("event_id") % 9000).cast("string")), F.lit('"}'))
+    return outbox.duplicate_events(_table(spark, sf_dir, "events").select(meta.alias("metadata")))
+
+
 # The inbox.
 
 _IN = f"({d.duckdb(d.INBOX)})"
@@ -353,9 +359,40 @@ def inbox_retention(spark, sf_dir):
     return waiting.unionByName(rows.where(_ACKED).where("received_position > 500000").select(*_COLUMNS.split(", ")))
 
 
+@query("SELECT event_id, event_type AS stream_type, '{\"id\":' || user_id || '}' AS stream_id, event_id // 3 AS stream_position FROM events WHERE event_id % 4 <> 0")
+def inbox_dependencies(spark, sf_dir):
+    one = F.concat(F.lit('{"stream_position": '), F.expr("event_id div 3"), F.lit(', "stream_id": {"id": '), F.col("user_id"), F.lit('}, "tenant_id": "t", "stream_type": "'), F.col("event_type"), F.lit('"}'))
+    meta = F.concat(F.lit('{"causal_dependencies": ["junk", {"tenant_id": "t"}'), F.when(F.col("event_id") % 4 != 0, F.concat(F.lit(", "), one)).otherwise(""), F.lit("]}"))
+    found = _table(spark, sf_dir, "events").select("event_id", F.explode(json_keys.dependencies(meta)).alias("d"))
+    return found.select("event_id", "d.stream_type", "d.stream_id", "d.stream_position")
+
+
 # Events, workflows, keys.
 
 
+@query("SELECT event_id, user_id AS aggregate_id, event_id AS aggregate_version, ts AS occurred_at, user_id * 10 AS payload FROM events")
+def event_envelope(spark, sf_dir):
+    made = scalars.event(F.col("user_id"), F.col("user_id"), F.col("event_id"), F.col("ts"), F.col("event_id").cast("string"))
+    rows = _table(spark, sf_dir, "events").select("event_id", scalars.map_payload(made, lambda x: x * 10).alias("e"))
+    return rows.select("event_id", "e.aggregate_id", "e.aggregate_version", "e.occurred_at", "e.payload")
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal >= 0 AND c_nationkey > 2 THEN c_acctbal * 2 END AS value, CASE WHEN c_acctbal < 0 THEN 'negative' WHEN c_nationkey <= 2 THEN 'far' END AS error FROM customer")
+def result_chain(spark, sf_dir):
+    first = scalars.guard(F.col("c_acctbal") >= 0, F.lit("negative"), F.col("c_acctbal"))
+    chain = scalars.flat_map(first, lambda x: scalars.guard(F.col("c_nationkey") > 2, F.lit("far"), x * 2))
+    return _table(spark, sf_dir, "customer").select("c_custkey", chain.alias("r")).select("c_custkey", scalars.to_option(F.col("r")).alias("value"), scalars.to_error(F.col("r")).alias("error"))
+
+
+@query("SELECT n_nationkey, CASE WHEN bool_and(c_acctbal >= -900) THEN count(*) END AS n, CASE WHEN NOT bool_and(c_acctbal >= -900) THEN 'customer ' || min(c_custkey) FILTER (WHERE c_acctbal < -900) END AS error FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
+def result_sequence(spark, sf_dir):
+    checked = scalars.guard(F.col("c_acctbal") >= -900, F.concat(F.lit("customer "), F.col("c_custkey")), F.col("c_custkey"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", checked.alias("r")))), lambda x: x["r"])
+    rows = _table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(ordered.alias("rs"))
+    rows = rows.select("n_nationkey", scalars.sequence(F.col("rs")).alias("r"))
+    return rows.select("n_nationkey", F.when(F.col("r.error").isNull(), F.size("r.ok").cast("bigint")).alias("n"), "r.error")
+
+
 @query("SELECT user_id, CAST(sum(CASE WHEN event_type = 'error' THEN -1 ELSE 2 END) AS BIGINT) AS state FROM events GROUP BY user_id")
 def event_fold(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
@@ -411,3 +448,20 @@ def erasure_view(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").join(plain, F.col("user_id") == F.col("key_id")).select("key_id", "event_id", encryption.encrypted(F.col("props"), F.col("data_key")).alias("payload"))
     kept, _ = encryption.shred_members(keys, members.where("user_id % 5 = 0").select(F.col("user_id").alias("key_id")))
     return encryption.readable(rows, kept, kek).select(F.col("key_id").alias("member"), "event_id", "payload")
+
+
+@query(f"""SELECT saga_id, '{{"completedWorkLogs":[' || coalesce(string_agg('{{"activityTypeName":"' || activity || '","result":{{"ok":true}}}}', ',' ORDER BY step_no) FILTER (WHERE step_no <= 2), '')
+|| '],"nextWorkItems":[' || coalesce(string_agg('{{"activityTypeName":"' || activity || '","arguments":{{"step":' || step_no || '}}}}', ',' ORDER BY step_no) FILTER (WHERE step_no > 2), '') || ']}}' AS slip FROM {_SAGA} GROUP BY saga_id""")
+def saga_slip_json(spark, sf_dir):
+    def items(test, key, value):
+        found = F.array_sort(F.collect_list(F.when(test, F.struct("step_no", "activity", F.array(F.struct(F.lit(key).alias("key"), value.alias("value"))).alias("entries")))))
+        return F.transform(found, lambda x: F.struct(x["activity"].alias("activity"), x["entries"].alias("entries")))
+
+    rows = d.derived(spark, sf_dir, d.SAGA).groupBy("saga_id").agg(items(F.col("step_no") <= 2, "ok", F.lit("true")).alias("logs"), items(F.col("step_no") > 2, "step", F.col("step_no").cast("string")).alias("items"))
+    return rows.select("saga_id", saga.slip_json(F.col("logs"), F.col("items")).alias("slip"))
+
+
+@query(None)
+def saga_hosts(spark, sf_dir):
+    """Deliveries where every seventh compensation refuses."""
+    return saga.run_hosts(d.derived(spark, sf_dir, d.SAGA).withColumn("undo_ok", F.col("step_no") * F.col("saga_id") % 7 != 0))
