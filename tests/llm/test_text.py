@@ -59,6 +59,19 @@ def test_windows_hash_alike():
     assert len(set(window_hashes(words[:n], 5).tolist())) == n - 4
 
 
+def test_long_texts_hash_alike(monkeypatch):
+    """A text hashed in slices has the words that it has in one."""
+    from tidemill.llm import common
+
+    rng = random.Random(4)
+    text = prose(rng, 3000).encode() + b"  " + b"x" * 3000 + b" end \n"
+    whole, first = words_of([text])
+    assert len(whole) == first[1] == len(text.split())
+    monkeypatch.setattr(common, "CHUNK", 500)
+    sliced, bounds = words_of([text])
+    assert (sliced == whole).all() and bounds.tolist() == [0, len(whole)]
+
+
 def test_contaminated(spark, monkeypatch):
     rng = random.Random(3)
     items = [prose(rng, 30) for _ in range(6)] + ["too short", None, ""]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -94,8 +95,27 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return mix((sums[ends] - sums[starts]) * inverse[starts] + length * np.uint64(_C))
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each text and one more): words are runs without space and tab to carriage return."""
+    """(hash of each word, first word of each text and one more): words are runs without space and tab to carriage return.
+
+    One long text is hashed in slices that end at blanks, so that beside it there is little but a number for each word.
+    """
+    if len(texts) == 1 and len(texts[0]) > 2 * CHUNK:
+        parts, at = [], 0
+        while at < len(texts[0]):
+            found = _BLANK.search(texts[0], at + CHUNK)
+            to = found.start() if found else len(texts[0])
+            parts.append(_words_of([texts[0][at:to]])[0])
+            at = to
+        words = np.concatenate(parts)
+        return words, np.array([0, len(words)])
+    return _words_of(texts)
+
+
+def _words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     blank = (joined == 32) | ((joined >= 9) & (joined <= 13))
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1

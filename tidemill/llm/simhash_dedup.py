@@ -45,13 +45,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     if len(words) <= shingle:
         return int.from_bytes(digest(line, SEED), "big", signed=True)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = [0, *(ends[: -shingle] + 1).tolist()]
-    hashes = b"".join([digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)])
-    total = np.zeros(64, dtype=np.int64)
-    rows = np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8)
-    for at in range(0, len(rows), 65_536):
-        total += np.unpackbits(rows[at : at + 65_536], axis=1).sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * total > len(rows)).tobytes(), "big", signed=True)
+    starts, ends = np.concatenate(([0], ends[:-shingle] + 1)), ends[shingle - 1 :]
+    total, n = np.zeros(64, dtype=np.int64), len(starts)
+    for at in range(0, n, 65_536):
+        places = zip(starts[at : at + 65_536].tolist(), ends[at : at + 65_536].tolist(), strict=True)
+        hashes = np.frombuffer(b"".join([digest(line[a:b], SEED) for a, b in places]), dtype=np.uint8).reshape(-1, 8)
+        total += np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id") -> DataFrame:
