@@ -12,8 +12,8 @@ from there on get the full Hamming check.
 
 Documents with equal fingerprints are one node, so copies aren't expanded. Fingerprints that meet in a bucket of at most
 BUCKET are compared in pairs. In a larger bucket, each offers itself and its one-bit neighbours in the segments that
-the bucket leaves open: two of them link exactly if they have one of those in common, and at most one per open bit and
-one more can share it, so that a bucket of any size takes rows in proportion to its size.
+the bucket leaves open: two of them link exactly if they have one of those in common, and at most 65 fingerprints can
+share it. So a fingerprint makes at most 65 rows, however large its buckets are.
 """
 
 from __future__ import annotations
@@ -94,10 +94,12 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     for s in range(5):
         within = within | ((F.col("s") == s) & (_differ([s + 2]) <= 1) & (_differ([s + 2, s + 3]) <= 1))
     close = pairs.where(within).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    # Large buckets: meeting points one bit away.
-    flips = [F.array(F.lit(0).cast("bigint"), *[F.lit(_signed(1 << b)) for x in (2, 3, 4) for b in range(SEGMENTS[(s + x) % 5][0], sum(SEGMENTS[(s + x) % 5]))]) for s in range(5)]
-    flip = F.element_at(F.array(*flips), F.col("s") + 1)
-    points = met.where(F.col("n") > bucket).select("s", "fp", F.explode(flip).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("point")).distinct()
+    # Large buckets: meeting points one bit away, for each fingerprint in the bits that any of its large buckets leaves open.
+    open_bits = F.element_at(F.array(*[F.lit(_mask([s + 2, s + 3, s + 4])) for s in range(5)]), F.col("s") + 1)
+    crowded = met.where(F.col("n") > bucket).groupBy("fp").agg(F.bit_or(open_bits).alias("bits"))
+    single = F.array(*[F.lit(_signed(1 << b)) for b in range(64)])
+    flips = F.concat(F.array(F.lit(0).cast("bigint")), F.filter(single, lambda x: x.bitwiseAND(F.col("bits")) != 0))
+    points = crowded.select("fp", F.explode(flips).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("point"))
     stars = points.groupBy("point").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     stars = stars.select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).where("u <> v")
     return close.union(stars).distinct()
