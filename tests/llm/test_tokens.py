@@ -165,7 +165,8 @@ def test_hot_length_and_repeated_rows(spark):
         pack(spark.createDataFrame([(1, 0, 65)], "doc_id bigint, piece int, length bigint"), 64)
 
 
-def test_packed_rows_round_trip(spark, library, tmp_path):
+def test_packed_rows_round_trip(spark, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_output, "BLOCK_TOKENS", 3000)
     rng = random.Random(10)
     texts = [prose(rng, rng.choice([1, 30, 200])) for _ in range(40)] + [prose(rng, 1500), ""]
     rows = token_output.packed_rows(documents(spark, texts), PATH, 128)

@@ -52,6 +52,11 @@ def encoded(texts: list[str], path: str, end_id: int | None) -> list[np.ndarray]
     return [np.concatenate([*p, *end]) if p or end else np.zeros(0, dtype=np.uint32) for p in parts]
 
 
+def piece_sizes(n: int, capacity: int) -> list[int]:
+    """The sizes of the pieces of n tokens: a shorter one comes first."""
+    return [n % capacity] * (n % capacity > 0) + [capacity] * (n // capacity)
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int | None = END_ID, width: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids) of every row: a document over capacity is cut into pieces of capacity tokens, the
     first of which may be shorter. ids: little-endian numbers of width bytes, joined.
@@ -67,11 +72,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int | N
             found = encoded(texts, path, end_id)
             owner, number, start, length = [], [], [], []
             for i, x in zip(ids, found, strict=True):
-                at, size = 0, len(x) % capacity or min(len(x), capacity)
-                k = 0
-                while at < len(x):
+                at = 0
+                for k, size in enumerate(piece_sizes(len(x), capacity)):
                     owner.append(i), number.append(k), start.append(at), length.append(size)
-                    at, size, k = at + size, capacity, k + 1
+                    at += size
             flat = np.concatenate([*found, np.zeros(0, dtype=np.uint32)]).astype(f"<u{width}")
             offsets = np.concatenate(([0], np.cumsum(np.array(length, dtype=np.int64)))) * width
             blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
