@@ -184,6 +184,15 @@ def test_streams(spark, tmp_path):
     assert got[:10] == sorted(got[:10])
 
 
+def test_stream_workers(spark, tmp_path):
+    where, schema = f"{tmp_path}/messages", "transaction_id decimal(20,0), position bigint, uri string"
+    spark.range(40).select(F.lit(1).cast("decimal(20,0)").alias("transaction_id"), "id", F.concat(F.lit("u"), "id").alias("uri")).withColumnRenamed("id", "position").write.parquet(where)
+    got = []
+    for w in range(3):
+        logs.dispatched(logs.message_stream(spark, where, schema), lambda rows, n: got.extend(r["position"] for r in rows.collect()), f"{tmp_path}/check{w}", worker=w, workers=3).start().awaitTermination()
+    assert sorted(got) == list(range(40))
+
+
 def test_streams_wait_for_gaps(spark, tmp_path):
     where, schema = f"{tmp_path}/in", "tenant_id string, stream_type string, stream_id string, stream_position bigint, uri string, payload string"
     out = []

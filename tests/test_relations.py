@@ -2,6 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.plans.relations import Catalog, ManyToMany, OneToMany, Row
+from tidemill.sources.tables import load, save_bucketed
+
+from .conftest import SF
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +54,16 @@ def test_declarations_are_checked(fleet, spark):
         fleet.rows("nothing")
     with pytest.raises(ValueError, match="no column"):
         Catalog(fleet.tables, {"devices": {"p": OneToMany("policies", (("id", "other"),))}})
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    tables = load(spark, SF, ["customer", "orders"])
+    catalog = Catalog({"customer": save_bucketed(tables["customer"], "customer_bucketed", ["c_custkey"], 4), "orders": save_bucketed(tables["orders"], "orders_bucketed", ["o_custkey"], 4)}, {"customer": {"orders": OneToMany("orders", (("c_custkey", "o_custkey"),))}})
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = catalog.exists("customer", "orders", F.col("o_totalprice") > 100_000).rows
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == tables["customer"].join(tables["orders"].where("o_totalprice > 100000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)

@@ -12,6 +12,7 @@ from .functions import decimal4, encryption, json_keys, partitions, scalars, val
 from .operators import inbox, outbox, saga
 from .plans.relations import Catalog, ManyToMany, OneToMany
 from .sources import derived as d
+from .sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,7 +37,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     names = ("nation", "customer", "supplier", "part", "orders", "lineitem")
     return Catalog(
-        {n: _table(spark, sf_dir, n) for n in names},
+        load(spark, sf_dir, list(names)),
         {
             "nation": {"customers": OneToMany("customer", (("n_nationkey", "c_nationkey"),))},
             "customer": {"orders": OneToMany("orders", (("c_custkey", "o_custkey"),))},

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..functions.partitions import belongs_to
 from ..operators.inbox import KEY
 from ..operators.outbox import addressed
 
@@ -18,17 +19,17 @@ def message_stream(spark: SparkSession, path: str, schema: str, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def dispatched(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str, uri: str = "", poll: str | None = None) -> DataStreamWriter:
+def dispatched(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str, uri: str = "", poll: str | None = None, worker: int = 0, workers: int = 1) -> DataStreamWriter:
     """A query that hands every micro-batch, in order within it, to handler; its checkpoint is the group's position.
 
     Delivery is at least once with the batch's number, so that handlers can write under it. Without poll, the query takes
-    what is there and ends; with it, it looks again at that interval.
+    what is there and ends; with it, it looks again at that interval. Several workers each have a query and a checkpoint.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         handler(batch.orderBy("transaction_id", "position"), number)
 
-    writer = stream.where(addressed(uri)).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = stream.where(addressed(uri)).where(belongs_to(F.col("uri"), worker, workers)).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)
 
 
