@@ -22,7 +22,7 @@ from .pretokens import Forms, Merges, split, text_chunks
 
 CAPACITY, END_ID = 1024, 2
 #: Pieces in a ranking group at least; a length with n pieces has groups of about sqrt(n).
-GROUP = 512
+GROUP = 64
 _FORMS: dict[str, tuple[Forms, str | None]] = {}
 
 
