@@ -12,7 +12,7 @@ from tidemill.llm.common import words_of
 
 from ..conftest import SF
 from .helpers import awkward
-from .test_dedup import brute_components, brute_print
+from .test_similar import brute_similar
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -47,7 +47,7 @@ def test_pipeline_against_plain_python(spark):
     docs = [(i, t or "", s) for i, t, s in base.sql(f"SELECT doc_id, text, source FROM '{SF}/documents.parquet'").fetchall()]
     rated = [(i, quality_rules.measure(t), s) for i, t, s in docs]
     docs = brute_lines([(i, m[8], s) for i, m, s in rated if m[6]])
-    roots = brute_components({i: brute_print(t) for i, t, _ in docs})
+    roots = brute_similar({i: t for i, t, _ in docs})
     docs = [d for d in docs if roots[d[0]] == d[0]]
     docs = brute_clean(docs, [t for (t,) in base.sql(f"SELECT text FROM '{SF}/benchmark.parquet'").fetchall()])
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

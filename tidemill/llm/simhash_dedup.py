@@ -105,6 +105,16 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return close.union(stars).distinct()
 
 
+def named(prints: DataFrame, nodes: DataFrame, found: DataFrame, node: str) -> DataFrame:
+    """prints (doc_id, node, ...) with component_id, from nodes (node, first: the node's smallest doc_id) and links (u, v) between them."""
+    roots = cut(components(found), "ring-roots")
+    labelled = nodes.join(roots, nodes[node] == roots["v"], "left").select(node, "first", F.coalesce("root", node).alias("root"))
+    labelled = cut(labelled, "ring-labels")
+    names = cut(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "ring-names")
+    final = cut(labelled.join(names, "root").select(node, "component_id"), "ring-final")
+    return prints.join(final, node).select(*prints.columns, "component_id")
+
+
 def cluster(prints: DataFrame) -> DataFrame:
     """prints (doc_id, fp, ...) with component_id, the smallest doc_id that the row's document reaches, itself included.
 
@@ -113,12 +123,7 @@ def cluster(prints: DataFrame) -> DataFrame:
     """
     prints = cut(prints, "fingerprints")
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "ring-nodes")
-    roots = cut(components(links(nodes)), "ring-roots")
-    labelled = nodes.join(roots, nodes["fp"] == roots["v"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    labelled = cut(labelled, "ring-labels")
-    names = cut(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "ring-names")
-    final = cut(labelled.join(names, "root").select("fp", "component_id"), "ring-final")
-    return prints.join(final, "fp").select(*prints.columns, "component_id")
+    return named(prints, nodes, links(nodes), "fp")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -136,7 +141,12 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     Rows without an id stay only in components without any id, one of each text.
     """
-    stays = cluster(fingerprints(docs, shingle)).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    return keepers(docs, cluster(fingerprints(docs, shingle)))
+
+
+def keepers(docs: DataFrame, clustered: DataFrame) -> DataFrame:
+    """The rows of docs that name their component in clustered (doc_id, mark, component_id)."""
+    stays = clustered.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
     kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__mark")), "left_semi")
     place = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text")))
     return kept.withColumn("__place", place).where("__place = 1").drop("__place")
