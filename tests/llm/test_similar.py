@@ -75,6 +75,22 @@ def test_crowded_buckets_without_links(spark):
     assert got == want and want[50] == 7 and want[51] == 31 and want[52] == 44
 
 
+def test_copies_that_differ_by_a_block(spark):
+    """Tails cut off, passages appended and inserted, at similarities around 0.8 to 0.9."""
+    rng = random.Random(12)
+    sources = [prose(rng, rng.randint(100, 600)) for _ in range(60)]
+    texts = list(sources)
+    for k, t in enumerate(sources):
+        words, share = t.split(), rng.uniform(0.1, 0.25)
+        n, block = int(share * len(words)), prose(rng, int(share * len(words)))
+        at = rng.randrange(len(words))
+        texts.append((" ".join(words[:-n]), f"{t} {block}", " ".join([*words[:at], block, *words[at:]]))[k % 3])
+    want = brute_similar(dict(enumerate(texts)))
+    assert 30 < sum(want[60 + k] == k for k in range(60)) < 60
+    got = {r["doc_id"]: r["component_id"] for r in simhash_similar.similar_documents(documents(spark, texts)).collect()}
+    assert got == want
+
+
 def test_ring_is_exact():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 256, (400, simhash_similar.SEGMENTS), dtype=np.uint8)

@@ -19,16 +19,25 @@ this links to nothing are compared with a member of each of their large buckets,
 small buckets, but for nodes that follow the same leader. Nodes of large buckets that have found no link at all meet once
 more in what is left of the bucket, with a fourfold bound, until no such bucket is left. So a node makes 64 rows and at
 most about as many pairs, however large its group is.
+
+What the fingerprints miss, the shingles find: two sets that share SIMILARITY share one of the first shingles (a fifth and
+one more) of each, in whatever order all shingles are put. So all texts of different components so far that share such a
+shingle are pairs, if its places leave room for the similarity and the parities of the shingles' hashes, which differ in
+no more bits than the sets in shingles, allow it. So the components are those of all pairs, whatever the edit was and
+however large the group is. Shingles that are common in a sample come last in the order; that only saves pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mix, small_batches, text_or_empty, window_hashes, words_of
+from .components import components
 from .simhash_dedup import keepers, named
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -39,6 +48,10 @@ BUCKET = 8
 LOOK = 16
 #: Marks, 8 bytes each, that are broadcast to pick the texts to compare; more of them are joined.
 BROADCAST_MARKS = 2_000_000
+#: Documents whose shingles are counted to put common ones last, and how many of those are sent to all tasks, 8 bytes each.
+SAMPLE, COMMON, SEEN = 10_000, 200_000, 3
+#: Bits of the parities of a set.
+PARITIES = 1024
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, PARTS, dtype=np.uint64)
 _BITS = np.array([bin(x).count("1") for x in range(256)], dtype=np.int16)
 
@@ -182,29 +195,101 @@ def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> Dat
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
+def _common(docs: DataFrame, shingle: int) -> np.ndarray:
+    """The sorted hashes of the commonest shingles in a sample of documents."""
+    base = docs.select(text_or_empty().alias("t"))
+    step = max(1, base.count() // SAMPLE)
+
+    def run(batches):
+        for b in batches:
+            found = [shingles(t, shingle) for t in b.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["key"])
+
+    rows = base.where(F.pmod(F.xxhash64("t"), F.lit(step)) == 0).mapInArrow(run, "key bigint")
+    some = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN).orderBy(F.desc("n"), "key").limit(COMMON)
+    return np.sort(some.select("key").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def first_shingles(found: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
+    """Those of a set's shingles of which it shares one with every set at the similarity, common ones last."""
+    late = np.isin(found, common, assume_unique=True)
+    return np.concatenate((found[~late], found[late]))[: len(found) - math.ceil(least * len(found) - 1e-6) + 1]
+
+
+def parities(found: np.ndarray) -> bytes:
+    """For each of PARITIES parts of the hashes, if an odd number of shingles is in it."""
+    return np.packbits(np.bincount(found.astype(np.int64) & (PARITIES - 1), minlength=PARITIES).astype(np.uint8) & 1).tobytes()
+
+
+def _sets(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(mark, n, bits, keys) for every row of docs: the size of its set, its parities and its first shingles."""
+    common = _common(docs, shingle)
+    df = docs.select(text_or_empty().alias("t")).select(F.xxhash64("t").alias("mark"), "t")
+
+    def run(batches):
+        for b in batches:
+            found = [shingles(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            keys = [first_shingles(x, common, least).view(np.int64) for x in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([parities(x) for x in found], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["mark", "n", "bits", "keys"])
+
+    return df.mapInArrow(run, "mark bigint, n bigint, bits binary, keys array<bigint>")
+
+
+def _sharing(sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(u, v): the pairs of different components (v, root) that share a first shingle early enough for the similarity."""
+    homes = roots.select(F.col("v").alias("mark"), "root")
+    rows = sets.join(homes, "mark", "left").select("mark", F.coalesce("root", "mark").alias("root"), "n", F.posexplode("keys").alias("at", "key"))
+    shared = cut(rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"), "shingle-shared")
+    met = cut(rows.join(shared, "key").distinct(), "shingle-met")
+    left, right = (met.select("key", F.struct("mark", "root", "n", "at").alias(x)) for x in "ab")
+    left_over = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    room = left_over >= F.lit(least / (1 + least)) * (F.col("a.n") + F.col("b.n")) - 1e-6
+    pairs = left.join(right, "key").where(F.col("a.mark") < F.col("b.mark")).where(F.col("a.root") != F.col("b.root")).where(room)
+    return pairs.select(F.col("a.mark").alias("u"), F.col("b.mark").alias("v")).distinct()
+
+
+def _even(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs whose parities differ in no more bits than sets at the similarity differ in shingles."""
+    each = sets.select("mark", "n", "bits").dropDuplicates(["mark"])
+    left, right = each.toDF("u", "n_u", "a"), each.toDF("v", "n_v", "b")
+
+    def run(batches):
+        for b in batches:
+            a, c = (np.frombuffer(b"".join(x.to_pylist()), dtype=np.uint8).reshape(-1, PARITIES // 8) for x in b.columns[3:])
+            apart = _BITS[a ^ c].sum(axis=1)
+            most = b.column(2).to_numpy() * (1 - least) / (1 + least) + 1e-6
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["u", "v"]).filter(pa.array(apart <= most))
+
+    return pairs.join(left, "u").join(right, "v").select("u", "v", F.expr("n_u + n_v").alias("n"), "a", "b").mapInArrow(run, "u bigint, v bigint")
+
+
 def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, most: int = MOST, bucket: int = BUCKET) -> DataFrame:
     """(u, v): links between the marks of nodes (mark, parts), whose texts are in docs."""
     met = _met(nodes.select("mark", F.explode(F.array(*[_chain(k) for k in range(SEGMENTS)])).alias("key")))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, near) -> DataFrame:
         """The links among pairs that no earlier round has looked at."""
         for earlier in looked_at:
             pairs = pairs.join(earlier, ["u", "v"], "left_anti")
-        close = cut(_close(pairs, nodes, most), "similar-close")
+        close = cut(near(pairs), "similar-close")
         looked_at.append(close)
         return cut(_alike(close, docs, shingle, least), "similar-links")
 
     found, looked_at = None, []
+    by_ring = lambda pairs: _close(pairs, nodes, most)
     while True:
         crowded = met.where(F.col("n") > bucket)
-        led = verified(_led(crowded))
-        drawn = verified(_drawn(crowded, led))
+        led = verified(_led(crowded), by_ring)
+        drawn = verified(_drawn(crowded, led), by_ring)
         followed = cut(_followed(led, drawn), "similar-leaders")
-        new = led.union(drawn).union(verified(_within(met.where(F.col("n") <= bucket), followed)))
+        new = led.union(drawn).union(verified(_within(met.where(F.col("n") <= bucket), followed), by_ring))
         found = new if found is None else found.union(new)
         met, bucket = _met(crowded.drop("n").join(_ends(new), "mark", "left_anti")), 4 * bucket
         if not met.head(1):
-            return found
+            break
+    sets = cut(_sets(docs, shingle, least), "shingle-sets")
+    roots = cut(components(found), "shingle-roots")
+    return found.union(verified(_sharing(sets, roots, least), lambda pairs: _even(pairs, sets, least)))
 
 
 def cluster(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, most: int = MOST) -> DataFrame:
