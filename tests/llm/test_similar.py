@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemill.llm import simhash_similar
+from tidemill.llm import components, simhash_similar
 
 from .helpers import awkward, documents, empty, prose
 
@@ -91,6 +91,26 @@ def test_copies_that_differ_by_a_block(spark):
     assert got == want
 
 
+def test_parts_of_large_groups(spark):
+    """Two sets of copies, each with links of its own, that hang together by one text only; no source text of all is there."""
+    rng, texts = random.Random(6), []
+    for _ in range(12):
+        source = prose(rng, 400)
+        near = edited(rng, source, 8)
+        far = edited(rng, near, 8)
+        texts += [edited(rng, source, 1) for _ in range(12)] + [near] + [edited(rng, far, 1) for _ in range(12)]
+    rng.shuffle(texts)
+    want = brute_similar(dict(enumerate(texts)))
+    assert len(set(want.values())) < 24
+    docs = documents(spark, texts)
+    prints = simhash_similar.fingerprints(docs).cache()
+    ids = {r["mark"]: r["doc_id"] for r in prints.collect()}
+    found = simhash_similar.links(docs, prints.select("mark", "parts"), bucket=1)
+    root = {ids[r["v"]]: ids[r["root"]] for r in components.components(found).collect()}
+    parts = lambda of: sorted(sorted(i for i in want if of(i) == r) for r in {of(i) for i in want})
+    assert parts(lambda i: root.get(i, i)) == parts(want.get)
+
+
 def test_ring_is_exact():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 256, (400, simhash_similar.SEGMENTS), dtype=np.uint8)

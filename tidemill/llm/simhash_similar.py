@@ -16,11 +16,10 @@ Hamming check, then the shingles.
 In buckets of more than BUCKET nodes, each node is compared with one leader: that of its largest bucket, the node there
 that meets most others over all its buckets. It is the text that the others were copied from if that is there. Nodes that
 this links to nothing are compared with a member of each of their large buckets, drawn by hash. Then come the pairs of the
-small buckets, but for nodes that follow the same leader. Nodes of large buckets that have found no link at all meet once
-more in what is left of the bucket, with a fourfold bound, until no such bucket is left. So a node makes 64 rows and at
-most about as many pairs, however large its group is.
+small buckets, but for nodes that follow the same leader. So a node makes 64 rows and at most about as many pairs, however
+large its group is.
 
-What the fingerprints miss, the shingles find: two sets that share SIMILARITY share one of the first shingles (a fifth and
+What the fingerprints and these rounds miss, linked or not, the shingles find: two sets that share SIMILARITY share one of the first shingles (a fifth and
 one more) of each, in whatever order all shingles are put. So all texts of different components so far that share such a
 shingle are pairs, if its places leave room for the similarity and the parities of the shingles' hashes, which differ in
 no more bits than the sets in shingles, allow it. So the components are those of all pairs, whatever the edit was and
@@ -275,18 +274,13 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, least: floa
         looked_at.append(close)
         return cut(_alike(close, docs, shingle, least), "similar-links")
 
-    found, looked_at = None, []
+    looked_at = []
     by_ring = lambda pairs: _close(pairs, nodes, most)
-    while True:
-        crowded = met.where(F.col("n") > bucket)
-        led = verified(_led(crowded), by_ring)
-        drawn = verified(_drawn(crowded, led), by_ring)
-        followed = cut(_followed(led, drawn), "similar-leaders")
-        new = led.union(drawn).union(verified(_within(met.where(F.col("n") <= bucket), followed), by_ring))
-        found = new if found is None else found.union(new)
-        met, bucket = _met(crowded.drop("n").join(_ends(new), "mark", "left_anti")), 4 * bucket
-        if not met.head(1):
-            break
+    crowded = met.where(F.col("n") > bucket)
+    led = verified(_led(crowded), by_ring)
+    drawn = verified(_drawn(crowded, led), by_ring)
+    followed = cut(_followed(led, drawn), "similar-leaders")
+    found = led.union(drawn).union(verified(_within(met.where(F.col("n") <= bucket), followed), by_ring))
     sets = cut(_sets(docs, shingle, least), "shingle-sets")
     roots = cut(components(found), "shingle-roots")
     return found.union(verified(_sharing(sets, roots, least), lambda pairs: _even(pairs, sets, least)))
