@@ -1,7 +1,9 @@
 import hashlib
 import random
 
+import corpus_pipeline
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemill.llm import components, line_dedup, oracle, queries, simhash_dedup, substring_dedup
 
@@ -167,6 +169,14 @@ def test_line_dedup_by_join_and_edges(spark, monkeypatch):
     assert line_dedup.drop_boilerplate(empty(spark)).count() == 0
 
 
+def test_copies_do_not_empty_themselves(spark):
+    """Copies of one text that are a third of their site, and the pipeline's stage, which keeps their lines."""
+    texts = [f"Menu\nstory {k}" for k in range(20)] + ["Menu\nOne tale\nof copies"] * 10
+    docs = documents(spark, texts).withColumn("source", F.lit("site"))
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert got == {k: f"story {k}" if k < 20 else "One tale\nof copies" for k in range(30)}
+
+
 def test_sql(spark):
     for name in ("op9_line_dedup", "op10_substring_dedup"):
         same_as_duckdb(spark, name, queries.QUERIES[name], oracle.ORACLE_SQL[name])

@@ -2,8 +2,8 @@
 
 Documents are grouped by site. A line (blanks around it aside) that stands in more than max_ratio of its site's
 documents, and in at least min_docs of them, is boilerplate there and is removed from every document of that site.
-Lines without a word are never removed. Each row counts as a document of its own, so repeated rows count repeatedly;
-null text is empty; a null site is a site like any other. Lines are known by 64-bit hashes.
+Lines without a word are never removed. Each row counts as a document of its own, so repeated rows count repeatedly, or,
+with by_text, each distinct text of a site counts once, so that copies don't make their own lines boilerplate; null text is empty; a null site is a site like any other. Lines are known by 64-bit hashes.
 
 Only DataFrame functions run here. The lines travel as hashes, never as text, and documents are not shuffled while the
 boilerplate fits BROADCAST_LINES; beyond that the boilerplate is joined by site, and large sites can be split. A site's
@@ -36,10 +36,13 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_docs: int = MIN_DOCS, site: str = "source") -> DataFrame:
+def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_docs: int = MIN_DOCS, site: str = "source", by_text: bool = False) -> DataFrame:
     """(site, line, n_docs, site_docs): the hashes of each site's boilerplate lines."""
     base = docs.select(F.col(site).cast("string").alias("site"), text_or_empty().alias("t"))
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("t")), _has_word), _key))
+    if by_text:
+        base = base.select("site", F.xxhash64("t").alias("mark"), keys.alias("keys")).dropDuplicates(["site", "mark"])
+        keys = F.col("keys")
     # A null key per document carries the site's document count through the same shuffle.
     rows = base.select("site", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), keys)).alias("line"))
     counts = rows.groupBy("site", "line").agg(F.count("*").alias("n_docs")).where((F.col("n_docs") >= min_docs) | F.col("line").isNull())
@@ -49,9 +52,9 @@ def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_docs: int = M
     return lines.join(totals, lines["site"].eqNullSafe(totals["s"])).where(F.col("n_docs") > F.lit(max_ratio) * F.col("site_docs")).select("site", "line", "n_docs", "site_docs")
 
 
-def drop_boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_docs: int = MIN_DOCS, site: str = "source") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_docs: int = MIN_DOCS, site: str = "source", by_text: bool = False) -> DataFrame:
     """docs with text cleaned, every other column as it was, and n_lines, n_dropped beside them."""
-    bad = boilerplate(docs, max_ratio, min_docs, site)
+    bad = boilerplate(docs, max_ratio, min_docs, site, by_text)
     lists = cut(bad.groupBy("site").agg(F.collect_set("line").alias("__bad")), "line-sites")
     n = lists.agg(F.sum(F.size("__bad"))).head()[0] or 0
     lists = lists.withColumnRenamed("site", "__site")
