@@ -206,6 +206,15 @@ def test_secret_findings(spark):
     assert (3, "mixed", 10, 50, False) in got
 
 
+def test_long_secrets_are_whole(spark):
+    made = [("a" * 300 + "1b2C" * (n // 4))[-n:] for n in (257, 100_000)]
+    part = "eyJ" + "aB3_" * 1500
+    texts = [f"the password={x} end" for x in made] + [f"see {x} end" for x in made] + [f"see {part}.{part}.{part} end", "see xoxb-" + "a1" * 300, "see " + "a" * 300 + "1 end"]
+    got = [(r["doc_id"], r["rule"], r["start"], r["end"]) for r in secrets.findings(documents(spark, texts)).collect()]
+    want = [(k, "assigned", 13, 13 + len(x)) for k, x in enumerate(made)] + [(k + 2, "mixed", 4, 4 + len(x)) for k, x in enumerate(made)]
+    assert sorted(got) == [*want, (4, "json_web_token", 4, 6 + 3 * len(part)), (5, "slack_token", 4, 609), (6, "mixed", 4, 305)]
+
+
 def test_secret_edges(spark):
     assert secrets.secrets(awkward(spark)).count() == 0
     assert secrets.findings(empty(spark)).count() == 0
