@@ -28,6 +28,11 @@ def test_quantifiers_are_semi_and_anti_joins(spark):
     assert plan(QUERIES["spec_nested_quantifier"](spark, SF)).count("LeftSemi") == 2
 
 
+def test_groups_are_never_gathered(spark):
+    for name in ("result_sequence", "event_fold"):
+        assert "collect_list" not in plan(QUERIES[name](spark, SF)), name
+
+
 def test_filters_reach_the_scan(spark):
     physical = QUERIES["spec_exists_o2m"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(o_totalprice,100000.0)" in physical and "o_orderdate" not in physical

@@ -145,6 +145,11 @@ def folded(events: DataFrame, key: str, order: str, start: Column, apply: Callab
     return events.groupBy(key).agg(ordered.alias("__events")).select(key, F.aggregate("__events", start, lambda state, e: apply(state, e["p"])).alias("state"))
 
 
+def summed(events: DataFrame, key: str, step: Column) -> DataFrame:
+    """(key, state): the fold whose steps add up, in any order: partial sums before the shuffle, however many events a key has."""
+    return events.groupBy(key).agg(F.sum(step).alias("state"))
+
+
 # The wire form: objects keep the order of their keys, so they travel as texts.
 def _object(entries: Column) -> Column:
     """A JSON object from array<struct<key, value>>, values being JSON texts."""

@@ -388,16 +388,16 @@ def result_chain(spark, sf_dir):
 @query("SELECT n_nationkey, CASE WHEN bool_and(c_acctbal >= -900) THEN count(*) END AS n, CASE WHEN NOT bool_and(c_acctbal >= -900) THEN 'customer ' || min(c_custkey) FILTER (WHERE c_acctbal < -900) END AS error FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
 def result_sequence(spark, sf_dir):
     checked = scalars.guard(F.col("c_acctbal") >= -900, F.concat(F.lit("customer "), F.col("c_custkey")), F.col("c_custkey"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", checked.alias("r")))), lambda x: x["r"])
-    rows = _table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(ordered.alias("rs"))
-    rows = rows.select("n_nationkey", scalars.sequence(F.col("rs")).alias("r"))
-    return rows.select("n_nationkey", F.when(F.col("r.error").isNull(), F.size("r.ok").cast("bigint")).alias("n"), "r.error")
+    error = scalars.to_error(checked)
+    first = F.min_by(error, F.when(error.isNotNull(), F.col("c_custkey")))
+    rows = _table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("all"), first.alias("error"))
+    return rows.select("n_nationkey", F.when(F.col("error").isNull(), F.col("all")).alias("n"), "error")
 
 
 @query("SELECT user_id, CAST(sum(CASE WHEN event_type = 'error' THEN -1 ELSE 2 END) AS BIGINT) AS state FROM events GROUP BY user_id")
 def event_fold(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
-    return saga.folded(events, "user_id", "event_id", F.lit(0).cast("bigint"), lambda s, p: s + F.when(p == "error", -1).otherwise(2), "event_type")
+    return saga.summed(events, "user_id", F.when(F.col("event_type") == "error", -1).otherwise(2).cast("bigint"))
 
 
 _SAGA = f"({d.duckdb(d.SAGA)})"
