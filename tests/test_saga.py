@@ -74,6 +74,13 @@ def test_hosts_with_refusals(spark):
     assert got == {s: brute_hosts(rows) for s, rows in sagas.items()}
 
 
+def test_hosts_of_a_long_workflow(spark):
+    rows = [(f"A{k}", k < 5999, True) for k in range(6000)]
+    t = spark.createDataFrame([(1, k, *r) for k, r in enumerate(rows)], "saga_id bigint, step_no bigint, activity string, ok boolean, undo_ok boolean")
+    got = [(r["direction"], r["activity"], r["result"]) for r in saga.run_hosts(t).orderBy("delivery").collect()]
+    assert len(got) == 11_999 and got == brute_hosts(rows)
+
+
 def test_addresses_and_names(spark):
     known = spark.createDataFrame([("A",), ("B",)], "activity string")
     sent = spark.createDataFrame([("sb://./A",), ("sb://./BCompensation",), ("sb://./C",)], "uri string")

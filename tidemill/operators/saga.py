@@ -103,21 +103,21 @@ def wire_names(registrations: DataFrame, activities: DataFrame) -> DataFrame:
     return activities.join(named, "activity", "left").select("activity", F.coalesce("__name", "activity").alias("name"), F.col("__name").isNotNull().alias("registered"))
 
 
-def run_hosts(steps: DataFrame, limit: int = 10_000) -> DataFrame:
+def run_hosts(steps: DataFrame) -> DataFrame:
     """(saga_id, delivery, direction, activity, result): every delivery of every workflow, with compensations that can refuse.
 
     steps has undo_ok as well. A failed step is not tried again; a compensation that returns false turns the workflow
-    forward to the steps still pending. A workflow's steps are few; each is folded by itself.
+    forward to the steps still pending, so deliveries are at most twice the steps. A workflow's steps are few; each is folded by itself.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        pending = rows.sort_values("step_no").to_dict("records")
+        pending = rows.sort_values("step_no").to_dict("records")[::-1]
         logs, forward, trace = [], True, []
-        while len(trace) < limit:
+        while True:
             if forward:
                 if not pending:
                     break
-                step = pending.pop(0)
+                step = pending.pop()
                 trace.append(("forward", step["activity"], bool(step["ok"])))
                 if step["ok"]:
                     logs.append(step)
