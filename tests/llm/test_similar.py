@@ -1,11 +1,13 @@
 """Near-duplicates by similarity against all pairs of shingle sets."""
 
+import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemill.llm import components, simhash_similar
+from tidemill.llm import simhash_similar
 
 from .helpers import awkward, documents, empty, prose
 
@@ -102,13 +104,8 @@ def test_parts_of_large_groups(spark):
     rng.shuffle(texts)
     want = brute_similar(dict(enumerate(texts)))
     assert len(set(want.values())) < 24
-    docs = documents(spark, texts)
-    prints = simhash_similar.fingerprints(docs).cache()
-    ids = {r["mark"]: r["doc_id"] for r in prints.collect()}
-    found = simhash_similar.links(docs, prints.select("mark", "parts"), bucket=1)
-    root = {ids[r["v"]]: ids[r["root"]] for r in components.components(found).collect()}
-    parts = lambda of: sorted(sorted(i for i in want if of(i) == r) for r in {of(i) for i in want})
-    assert parts(lambda i: root.get(i, i)) == parts(want.get)
+    got = {r["doc_id"]: r["component_id"] for r in simhash_similar.similar_documents(documents(spark, texts)).collect()}
+    assert got == want
 
 
 def test_ring_is_exact():
@@ -121,13 +118,31 @@ def test_ring_is_exact():
     assert (simhash_similar.in_ring(a, np.packbits(bits, axis=1)) == (apart <= simhash_similar.MOST)).all()
 
 
-def test_chains_are_the_ring(spark):
-    raw = np.random.default_rng(9).integers(0, 256, simhash_similar.SEGMENTS, dtype=np.uint8)
-    parts = raw.tobytes()
-    table = spark.createDataFrame([([int(x) for x in np.frombuffer(parts, dtype="<i8")],)], "parts array<bigint>")
-    got = table.select(*[simhash_similar._chain(k) for k in range(simhash_similar.SEGMENTS)]).head()
-    ring = parts + parts
-    assert list(got) == [k << 32 | int.from_bytes(ring[k : k + 4], "little") for k in range(simhash_similar.SEGMENTS)]
+def test_fingerprints_keep_similar_sets():
+    """Sets at the similarity stay within the bits of the ring and of the parities."""
+    rng = np.random.default_rng(9)
+    for n in (simhash_similar.SMALL, 100, 1000) * 60:
+        both, a, b = (np.sort(rng.integers(0, 1 << 63, k, dtype=np.uint64)) for k in (math.ceil(0.8 * n), n - math.ceil(0.8 * n), n // 20))
+        x, y = np.union1d(both, a[: len(a) - len(b)]), np.union1d(both, b)
+        assert simhash_similar.similarity(x, y) >= 0.79
+        one, two = (np.frombuffer(simhash_similar.wide(s), dtype=np.uint8)[None] for s in (x, y))
+        assert simhash_similar.in_ring(one, two).all()
+        odd = np.unpackbits(np.frombuffer(simhash_similar.parities(x), dtype=np.uint8) ^ np.frombuffer(simhash_similar.parities(y), dtype=np.uint8)).sum()
+        assert odd <= len(np.setxor1d(x, y))
+
+
+def test_rows_of_a_crowded_bucket_without_links(spark):
+    """2,000 texts that share a rare passage and nothing else meet in the passage's buckets; no pair of them becomes a row."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(12))
+    texts = [passage + " " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(12)) for _ in range(2000)]
+    docs = documents(spark, texts)
+    rows = simhash_similar._sketches(docs, 5, 0.8).cache()
+    nodes = rows.select(F.col("row").alias("node"), "mark", "twin", F.col("doc_id").alias("first"), "n", "prints", "bits", "keys")
+    met = nodes.select("node", "n", F.lit(7).cast("bigint").alias("key"), F.col("n").alias("left"))
+    alone = spark.createDataFrame([], "node bigint, root bigint")
+    assert simhash_similar._led(met, 0.8).count() == 1999
+    assert simhash_similar._crossing(met, nodes, alone, 0.8, simhash_similar.MOST, False).count() == 0
 
 
 def test_edges(spark):
@@ -144,5 +159,5 @@ def test_edges(spark):
 @pytest.mark.parametrize("n", [0, 1, 4, 5, 400_000])
 def test_long_and_short_texts(n):
     text = " ".join(f"w{k}" for k in range(n))
-    assert len(simhash_similar.wide(simhash_similar._words(text))) == 64
+    assert len(simhash_similar.wide(simhash_similar.shingles(text))) == 64
     assert len(simhash_similar.shingles(text)) == max(1, n - 4)

@@ -37,6 +37,27 @@ def drop_cut(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a table that is broadcast, some tens of bytes each; more of them are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A written table as it is to be joined: broadcast if its rows, which are counted, are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the rows of an Arrow batch, and so the memory of a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches, text_or_empty
+from .common import cut, few, fresh, small_batches, text_or_empty
 from .components import components
 
 SHINGLE, BITS, SEED = 3, 2, 42
@@ -141,12 +141,24 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     Rows without an id stay only in components without any id, one of each text.
     """
-    return keepers(docs, cluster(fingerprints(docs, shingle)))
+    return keepers(docs, cut(cluster(fingerprints(docs, shingle)), "clusters"))
 
 
 def keepers(docs: DataFrame, clustered: DataFrame) -> DataFrame:
-    """The rows of docs that name their component in clustered (doc_id, mark, component_id)."""
-    stays = clustered.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__mark")), "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text")))
-    return kept.withColumn("__place", place).where("__place = 1").drop("__place")
+    """The rows of docs that name their component in clustered (doc_id, mark, component_id), a written table.
+
+    Only rows that docs has more than once are shuffled with their texts.
+    """
+    named = clustered.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    number, mark = fresh(docs, "id", "mark")
+    stays = named.groupBy(F.col("doc_id").alias(number), F.col("mark").alias(mark)).agg(F.count("*").alias("rows"))
+    # Rows with one id and different texts have one name: the text with the least hash stays. Without an id, every text does.
+    rank = F.when(F.col(number).isNull(), 1).otherwise(F.row_number().over(Window.partitionBy(number, F.when(F.col(number).isNull(), F.col(mark))).orderBy(mark)))
+    stays = cut(stays.withColumn("nth", rank).where("nth = 1").drop("nth"), "stays")
+    same = F.col("doc_id").eqNullSafe(F.col(number)) & (F.xxhash64(text_or_empty()) == F.col(mark))
+    once = docs.join(few(stays.where("rows = 1").drop("rows")), same, "left_semi")
+    repeated = cut(stays.where("rows > 1").drop("rows"), "stays-repeated")
+    if repeated.isEmpty():
+        return once
+    copies = docs.join(few(repeated), same).dropDuplicates([number, mark])
+    return once.union(copies.select(*[F.col(f"`{c}`") for c in docs.columns]))
