@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,9 +29,37 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    for tables in _SCRATCH:
+        tables.made.append(out)
     return out
 
 
+class Scratch:
+    """The tables that cut() made inside a with-block of scratch(); those that aren't kept are deleted at its end."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.made = [t for t in self.made if t is not table]
+        return table
+
+
+_SCRATCH: list[Scratch] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """For work whose result is a table of its own at the end of the block, so that no plan needs the others any more."""
+    _SCRATCH.append(tables := Scratch())
+    try:
+        yield tables
+    finally:
+        _SCRATCH.remove(tables)
+        for t in tables.made:
+            drop_cut(t)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes the files behind a table from cut() that nothing reads any more."""
     spark = df.sparkSession

@@ -11,9 +11,12 @@ all. So only fingerprints that agree in two adjacent segments meet, and of those
 from there on get the full Hamming check.
 
 Documents with equal fingerprints are one node, so copies aren't expanded. Fingerprints that meet in a bucket of at most
-BUCKET are compared in pairs. In a larger bucket, each offers itself and its one-bit neighbours in the segments that
-the bucket leaves open: two of them link exactly if they have one of those in common, and at most 65 fingerprints can
-share it. So a fingerprint makes at most 65 rows, however large its buckets are.
+BUCKET are compared in pairs. A larger bucket is split by more bits, chain by chain. The budget of the chain of four says
+that two segments more differ in at most one bit, so a fingerprint goes to the places that leave out one bit of those: what
+meets there agrees in all other bits of four segments. Places that are still crowded are split by the last segment too,
+where a fingerprint goes to itself and to its neighbours at one bit: two that are within the budget have one of those in
+common, and at most 15 share it. So rows follow the fingerprints, however large a bucket is, and what meets anywhere, in a
+bucket, a place or a part of one, is held against the same budgets before the full Hamming check.
 """
 
 from __future__ import annotations
@@ -81,28 +84,49 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _single(segments: list[int]) -> list[int]:
+    """The bits of these segments, each by itself, as signed numbers."""
+    return [_signed(1 << at + k) for at, n in (SEGMENTS[s % 5] for s in segments) for k in range(n)]
+
+
+def _crowds(rows: DataFrame, bucket: int, tag: str) -> tuple[DataFrame, DataFrame]:
+    """rows (s, out, key, fp) of places with several fingerprints: (small places as (s, out, fps), the rows of larger ones)."""
+    place = ["s", "out", "key"]
+    sizes = cut(rows.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1"), f"ring-sizes-{tag}")
+    met = cut(rows.join(sizes, place), f"ring-met-{tag}")
+    small = met.where(F.col("n") <= bucket).groupBy(*place).agg(F.collect_set("fp").alias("fps")).select("s", "out", "fps")
+    return small, met.where(F.col("n") > bucket).select(*place, "fp")
+
+
+def _of(s: Column, choices: list[Column]) -> Column:
+    """The choice for the segment s."""
+    return F.element_at(F.array(*choices), s + 1)
+
+
 def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(u, v): links between the distinct fingerprints fp of prints, enough for their components."""
-    keys = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.col("fp").bitwiseAND(F.lit(_mask([s, s + 1]))).alias("key")) for s in range(5)])).alias("k")
-    rows = prints.select("fp", keys).select("fp", "k.s", "k.key")
-    sizes = cut(rows.groupBy("s", "key").agg(F.count("*").alias("n")).where("n > 1"), "ring-sizes")
-    met = cut(rows.join(sizes, ["s", "key"]), "ring-met")
-    # Small buckets: the pairs that keep to the budgets of the chains from the bucket's segment on.
-    groups = met.where(F.col("n") <= bucket).groupBy("s", "key").agg(F.collect_set("fp").alias("fps"))
-    pairs = groups.select("s", F.explode("fps").alias("a"), "fps").select("s", "a", F.explode(F.filter("fps", lambda x: x > F.col("a"))).alias("b"))
+    fp, nothing = F.col("fp"), F.lit(0).cast("bigint")
+    keys = F.array(*[F.struct(F.lit(s).alias("s"), fp.bitwiseAND(F.lit(_mask([s, s + 1]))).alias("key")) for s in range(5)])
+    small, crowded = _crowds(prints.select("fp", F.explode(keys).alias("k")).select("k.s", nothing.alias("out"), "k.key", "fp"), bucket, "two")
+    # Chains of four, whole and but for one bit of the last two segments.
+    outs = _of(F.col("s"), [F.array(nothing, *[F.lit(b) for b in _single([s + 2, s + 3])]) for s in range(5)])
+    masks = _of(F.col("s"), [F.lit(_mask([s, s + 1, s + 2, s + 3])) for s in range(5)])
+    places = crowded.select("s", "fp", F.explode(outs).alias("out"))
+    places = places.select("s", "out", fp.bitwiseAND(masks).bitwiseAND(F.bitwise_not("out")).alias("key"), "fp")
+    closer, packed = _crowds(places, bucket, "four")
+    # All five: a place's fingerprints differ in the bit left out and in the last segment.
+    flips = _of(F.col("s"), [F.array(nothing, *[F.lit(b) for b in _single([s + 4])]) for s in range(5)])
+    points = packed.select("s", "out", "fp", F.explode(F.array_union(flips, F.array("out"))).alias("flip"))
+    stars = points.groupBy("s", "out", fp.bitwiseXOR(F.col("flip")).alias("key")).agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    # The pairs of small places, of which those that leave a bit out take only what differs in it; stars of the points.
+    groups = small.union(closer)
+    beyond = lambda x: (x > F.col("a")) & ((F.col("out") == 0) | (x.bitwiseXOR(F.col("a")).bitwiseAND(F.col("out")) != 0))
+    pairs = groups.select("s", "out", F.explode("fps").alias("a"), "fps").select("s", "a", F.explode(F.filter("fps", beyond)).alias("b"))
+    pairs = pairs.union(stars.select("s", F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b"))
     within = F.lit(False)
     for s in range(5):
         within = within | ((F.col("s") == s) & (_differ([s + 2]) <= 1) & (_differ([s + 2, s + 3]) <= 1))
-    close = pairs.where(within).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    # Large buckets: meeting points one bit away, for each fingerprint in the bits that any of its large buckets leaves open.
-    open_bits = F.element_at(F.array(*[F.lit(_mask([s + 2, s + 3, s + 4])) for s in range(5)]), F.col("s") + 1)
-    crowded = met.where(F.col("n") > bucket).groupBy("fp").agg(F.bit_or(open_bits).alias("bits"))
-    single = F.array(*[F.lit(_signed(1 << b)) for b in range(64)])
-    flips = F.concat(F.array(F.lit(0).cast("bigint")), F.filter(single, lambda x: x.bitwiseAND(F.col("bits")) != 0))
-    points = crowded.select("fp", F.explode(flips).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("point"))
-    stars = points.groupBy("point").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = stars.select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).where("u <> v")
-    return close.union(stars).distinct()
+    return pairs.where(within).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
 def named(prints: DataFrame, nodes: DataFrame, found: DataFrame, node: str) -> DataFrame:

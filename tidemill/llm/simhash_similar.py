@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, few, mix, small_batches, text_or_empty, window_hashes, words_of
+from .common import cut, few, mix, scratch, small_batches, text_or_empty, window_hashes, words_of
 from .components import components
 from .simhash_dedup import keepers
 
@@ -76,7 +76,9 @@ def parities(found: np.ndarray) -> bytes:
 
 def first_shingles(found: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
     """Those of a set's shingles of which it shares one with every set at the similarity, common ones last."""
-    late = np.isin(found, common, assume_unique=True)
+    late = np.zeros(len(found), dtype=bool)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
     return np.concatenate((found[~late], found[late]))[: len(found) - math.ceil(least * len(found) - 1e-6) + 1]
 
 
@@ -141,10 +143,14 @@ def _room(n: Column, left: Column, other_n: Column, other_left: Column, least: f
     return F.least(left, other_left) >= F.lit(least / (1 + least)) * (n + other_n) - 1e-6
 
 
-def _met(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, left) of the first shingles that several nodes have; left: shingles from this one on in the order."""
+def _met(nodes: DataFrame, least: float) -> DataFrame:
+    """(key, node, n, left) of the first shingles that several nodes have; left: shingles from this one on in the order.
+
+    The smaller one of two similar sets has a shared shingle so early that there is room for two sets of its size.
+    """
     each = nodes.select("node", "n", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", (F.col("n") - F.col("at")).alias("left"))
-    shared = cut(each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "shingle-shared")
+    early = F.max(_room(F.col("n"), F.col("left"), F.col("n"), F.col("left"), least))
+    shared = cut(each.groupBy("key").agg(F.count("*").alias("size"), early.alias("early")).where("size > 1 and early").select("key"), "shingle-shared")
     return cut(each.join(few(shared), "key"), "shingle-met")
 
 
@@ -184,14 +190,11 @@ def _pairs_in(rows: dict[str, np.ndarray], least: float, most: int, forest: bool
         hits = k + 1 + np.flatnonzero(ok)
         one.append(np.full(len(hits), k)), two.append(hits)
     a, b = np.concatenate(one), np.concatenate(two)
-    kept, apart = np.zeros(len(a), dtype=bool), np.zeros(len(a))
+    apart = np.zeros(len(a))
     for at in range(0, len(a), 8192):
-        x, y = a[at : at + 8192], b[at : at + 8192]
-        apart[at : at + 8192] = _BITS[rows["bits"][x] ^ rows["bits"][y]].sum(axis=1) / (n[x] + n[y])
-        good = apart[at : at + 8192] <= (1 - least) / (1 + least) + 1e-9
-        large = good & (np.minimum(n[x], n[y]) >= SMALL)
-        good[large] = in_ring(rows["prints"][x[large]], rows["prints"][y[large]], most)
-        kept[at : at + 8192] = good
+        x, y = ({k: rows[k][p[at : at + 8192]] for k in ("n", "prints", "bits")} for p in (a, b))
+        apart[at : at + 8192] = _apart(x, y, least, most)
+    kept = apart < np.inf
     a, b, apart = a[kept], b[kept], apart[kept]
     if forest:
         apart_all = np.full((len(n), len(n)), np.inf)
@@ -251,27 +254,52 @@ def _crossing(met: DataFrame, nodes: DataFrame, roots: DataFrame, least: float,
     return rows.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def _whole(docs: DataFrame, nodes: DataFrame, met: DataFrame, shingle: int, id_col: str = "doc_id") -> DataFrame:
-    """(node, found): the whole set of every node in met, 8 bytes a shingle."""
-    wanted = cut(nodes.select("node", "mark", "twin", "first").join(met.select("node").distinct(), "node", "left_semi"), "similar-wanted")
+def _near(pairs: DataFrame, nodes: DataFrame, least: float, most: int) -> DataFrame:
+    """The pairs (u, v) that pass the filters on fingerprints and parities."""
+    of = lambda end: nodes.select(F.col("node").alias(end), F.struct("n", "prints", "bits").alias(f"of_{end}"))
+
+    def run(batches):
+        for b in batches:
+            x, y = ({name: part.field(name) for name in ("n", "prints", "bits")} for part in b.columns[2:])
+            x, y = ({"n": p["n"].to_numpy(), **{k: np.frombuffer(b"".join(p[k].to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1) for k in ("prints", "bits")}} for p in (x, y))
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["u", "v"]).filter(pa.array(_apart(x, y, least, most) < np.inf))
+
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "of_u", "of_v").mapInArrow(run, "u bigint, v bigint")
+
+
+def _apart(x: dict[str, np.ndarray], y: dict[str, np.ndarray], least: float, most: int) -> np.ndarray:
+    """How far apart pairs are by their parities, as a share of both sizes; infinite for those that a filter rules out."""
+    out = _BITS[x["bits"] ^ y["bits"]].sum(axis=1) / (x["n"] + y["n"])
+    good = out <= (1 - least) / (1 + least) + 1e-9
+    large = good & (np.minimum(x["n"], y["n"]) >= SMALL)
+    good[large] = in_ring(x["prints"][large], y["prints"][large], most)
+    out[~good] = np.inf
+    return out
+
+
+def _whole(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, id_col: str = "doc_id") -> DataFrame:
+    """(node, found): the whole set of every node in pairs (u, v), 8 bytes a shingle. Only their texts move."""
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    wanted = cut(nodes.select("node", "mark", "twin", "first").join(few(cut(ends, "similar-ends")), "node", "left_semi"), "similar-wanted")
     base = docs.select(F.col(id_col).cast("bigint").alias("d"), text_or_empty().alias("t")).select("d", "t", *[m.alias(f"t_{k}") for k, m in enumerate(_marks(F.col("t")))])
     own = (F.col("t_0") == F.col("mark")) & (F.col("t_1") == F.col("twin")) & F.col("d").eqNullSafe(F.col("first"))
-    texts = base.join(few(wanted), own).select("node", "t")
+    texts = base.join(few(wanted), own).select("node", "t").dropDuplicates(["node"])
 
     def run(batches):
         for b in batches:
             found = [shingles(t, shingle).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "found"])
 
-    return cut(texts.mapInArrow(run, "node bigint, found binary").dropDuplicates(["node"]), "similar-sets")
+    return cut(texts.mapInArrow(run, "node bigint, found binary"), "similar-sets")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose sets (node, found) are similar.
+def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (u, v) whose sets are similar.
 
     For each v, and each SPREAD of its pairs, the set of v goes once to where the sets of the others pass.
     """
     pairs = cut(pairs, "similar-pairs")
+    sets = _whole(docs, nodes, pairs, shingle)
     salts = pairs.groupBy("v").agg(F.ceil(F.count("*") / SPREAD).alias("salts"))
     salted = pairs.join(salts, "v").select("v", F.pmod(F.xxhash64("u"), F.col("salts")).alias("salt"), "u")
     others = salted.join(sets.withColumnRenamed("node", "u"), "u").select("v", "salt", "u", "found")
@@ -295,11 +323,11 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, most: int = MOST) -> DataFrame:
     """(node, root) of all nodes with a link; nodes: (node, mark, twin, first, n, prints, bits, keys) of the texts in docs."""
-    met = _met(nodes)
-    sets = _whole(docs, nodes, met, shingle)
-    roots = cut(components(_alike(_led(met, least), sets, least)), "similar-roots").toDF("node", "root")
+    met = _met(nodes, least)
+    alike = lambda pairs: _alike(pairs, docs, nodes, shingle, least)
+    roots = cut(components(alike(_near(_led(met, least), nodes, least, most))), "similar-roots").toDF("node", "root")
     for forest in (True, False):
-        roots = _joined(roots, _alike(_crossing(met, nodes, roots, least, most, forest), sets, least))
+        roots = _joined(roots, alike(_crossing(met, nodes, roots, least, most, forest)))
     return roots
 
 
@@ -320,7 +348,7 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY,
     """
     rows = cut(_sketches(docs, shingle, least), "similar-rows")
     texts = cut(rows.groupBy("mark", "twin").agg(F.min("row").alias("node"), F.min("doc_id").alias("first")), "similar-texts")
-    nodes = cut(rows.drop("doc_id", "mark", "twin").withColumnRenamed("row", "node").join(few(texts), "node"), "similar-nodes")
+    nodes = rows.drop("doc_id", "mark", "twin").withColumnRenamed("row", "node").join(few(texts), "node")
     roots = links(docs, nodes, shingle, least, most)
     labelled = cut(texts.join(roots, "node", "left").select("mark", "twin", "first", F.coalesce("root", "node").alias("root")), "similar-labelled")
     names = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -338,4 +366,6 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
     Rows without an id stay only in components without any id, one of each text. An empty table stays empty.
     """
-    return keepers(docs, cut(cluster(docs, **options), "similar-clusters"))
+    with scratch() as tables:
+        clustered = tables.keep(cut(cluster(docs, **options), "similar-clusters"))
+    return keepers(docs, clustered)
