@@ -1,3 +1,4 @@
+import json
 import random
 from collections import defaultdict
 from zlib import crc32
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemill.llm import packing, pretokens, token_counts, token_output
+from tidemill.llm import packing, pretokens, queries, token_counts, token_output
 from tidemill.llm.best_fit_packing import fullest, minimum_slack, pack
 from tidemill.llm.token_output import CapacityTree, best_fit_decreasing
 
@@ -37,6 +38,42 @@ def test_kernels_give_what_the_library_gives(library):
     assert token_counts.counted(texts, PATH).tolist() == [len(x) for x in want]
 
 
+def test_every_code_point(library):
+    """Each code point beside letters, digits, blanks and apostrophes, in texts of 2,000."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(3)
+    beside = ["a", "1", " ", "'s", "\n", "x'", ".", " b", "", "'ll"]
+    texts = ["".join(rng.choice(beside) + c for c in points[at : at + 2000]) for at in range(0, len(points), 2000)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert token_counts.counted(texts, PATH).tolist() == [len(x) for x in want]
+    assert [x.tolist() for x in packing.encoded(texts, PATH, None)] == want
+
+
+def test_whole_tables_against_the_library(spark, library):
+    """Counts and digests of all documents of a table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    ids = {i: e.ids for i, e in zip(texts, library.encode_batch(list(texts.values()), add_special_tokens=False), strict=True)}
+    assert {r["doc_id"]: r["n_tokens"] for r in queries.op3_token_counts(spark, "/root/testdata/sf0.01").collect()} == {i: len(x) for i, x in ids.items()}
+    for r in queries.op2_best_fit_packing(spark, "/root/testdata/sf0.01").collect():
+        whole = [*ids[r["doc_id"]], 2]
+        assert r["ids_crc32"] == crc32(np.array(whole[r["start"] : r["start"] + r["length"]], dtype="<u4").tobytes())
+
+
+def test_ids_that_two_bytes_cannot_hold(spark, tmp_path):
+    """A vocabulary of 70,000 ids is an error for two bytes, before any row is made, and none for four."""
+    with open(PATH, encoding="utf-8") as f:
+        loaded = json.load(f)
+    loaded["model"]["vocab"] |= {f"<extra {k}>": k for k in range(50257, 70_000)}
+    path = f"{tmp_path}/large.json"
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(loaded, f)
+    docs = documents(spark, ["one text"])
+    with pytest.raises(ValueError):
+        token_output.packed_rows(docs, path)
+    assert token_output.packed_rows(docs, path, width=4).count() == 1
+
+
 def test_long_texts_and_small_caches(library, monkeypatch):
     """Cutting long texts and starting the cache anew change nothing."""
     rng = random.Random(2)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches, text_or_empty
+from .common import cut, fresh, small_batches, text_or_empty
 from .pretokens import Forms, Merges, split, text_chunks
 
 CAPACITY, END_ID = 1024, 2
@@ -95,7 +95,7 @@ class Plan:
 def place(table: DataFrame, planner, capacity: int = CAPACITY) -> DataFrame:
     """table (with doc_id, piece, length and any more columns) with sequence_id and offset, by planner(counts, capacity) -> Plan.
 
-    Repeated rows are pieces of their own. Lengths must be 1 to capacity. An empty table stays empty.
+    Repeated rows are pieces of their own; pieces of one length take its places in any order. Lengths must be 1 to capacity. An empty table stays empty.
     """
     spark = table.sparkSession
     table = cut(table, "pieces")
@@ -103,13 +103,14 @@ def place(table: DataFrame, planner, capacity: int = CAPACITY) -> DataFrame:
     if any(not 1 <= k <= capacity for k in counts):
         raise ValueError("lengths must be from 1 to the capacity")
     plan = planner(counts, capacity)
-    groups = spark.createDataFrame([(k, max(1, round(n / max(GROUP, n**0.5)))) for k, n in counts.items()], "length bigint, __groups bigint")
-    salted = table.join(F.broadcast(groups), "length").withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("__groups"))).drop("__groups")
-    sizes = cut(salted.groupBy("length", "__salt").agg(F.count("*").alias("n")), "piece-groups")
-    before = sizes.withColumn("__base", F.sum("n").over(Window.partitionBy("length").orderBy("__salt")) - F.col("n")).drop("n")
-    within = F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece")) - 1
-    ranked = salted.join(before, ["length", "__salt"]).withColumn("__rank", F.col("__base") + within)
-    ranked = ranked.select(*table.columns, "__rank")
+    n_groups, salt, base, rank = fresh(table, "groups", "salt", "base", "rank")
+    groups = spark.createDataFrame([(k, max(1, round(n / max(GROUP, n**0.5)))) for k, n in counts.items()], f"length bigint, `{n_groups}` bigint")
+    salted = table.join(F.broadcast(groups), "length").withColumn(salt, F.pmod(F.xxhash64("doc_id", "piece"), F.col(n_groups))).drop(n_groups)
+    sizes = cut(salted.groupBy("length", salt).agg(F.count("*").alias("n")), "piece-groups")
+    before = sizes.withColumn(base, F.sum("n").over(Window.partitionBy("length").orderBy(salt)) - F.col("n")).drop("n")
+    within = F.row_number().over(Window.partitionBy("length", salt).orderBy("doc_id", "piece")) - 1
+    ranked = salted.join(before, ["length", salt]).withColumn(rank, F.col(base) + within)
+    ranked = ranked.select(*[F.col(f"`{c}`") for c in table.columns], rank)
     runs = np.array(sorted(plan.runs), dtype=np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast((runs, runs[:, 0] << 44 | runs[:, 1]))
     schema = T.StructType([*table.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])

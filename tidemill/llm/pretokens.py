@@ -2,7 +2,7 @@
 
 The pre-token pattern is 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+ of byte-level BPE
 tokenizers. It is evaluated by array operations over code points: runs of one class, the space before a run, the last
-blank before a run, and the contractions.
+blank before a run, and the contractions. Letters and numbers are those of the tokenizers library, for every code point.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import regex
+from tokenizers import Regex
+from tokenizers.pre_tokenizers import Split
 
 from .common import CHUNK, span_hashes
 
@@ -23,11 +26,28 @@ _BLANKS = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x20
 _TABLES: list[np.ndarray] = []
 
 
+def _all_of(kind: str) -> np.ndarray:
+    """Which code points are letters (L) or numbers (N) to the tokenizers library.
+
+    Two sources of other Unicode versions agree on all but some thousands of them; those the library is asked for.
+    """
+    older = np.fromiter((unicodedata.category(chr(c))[0] == kind for c in range(0x110000)), dtype=bool, count=0x110000)
+    newer = np.zeros(0x110000, dtype=bool)
+    for m in regex.finditer(rf"\p{{{kind}}}+", "".join(map(chr, range(0x110000)))):
+        newer[m.start() : m.end()] = True
+    asked = np.flatnonzero(older != newer)
+    older[asked] = False
+    text = "".join(map(chr, asked.tolist()))
+    for _, (lo, hi) in Split(Regex(rf"[^\p{{{kind}}}]+"), "removed").pre_tokenize_str(text):
+        older[asked[lo:hi]] = True
+    return older
+
+
 def _classes() -> tuple[np.ndarray, np.ndarray]:
     """(class of each code point, a random odd number for each of 65,536 residues)."""
     if not _TABLES:
-        kinds = {"L": _LETTER, "N": _NUMBER}
-        table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x110000)), dtype=np.uint8, count=0x110000)
+        table = np.full(0x110000, _OTHER, dtype=np.uint8)
+        table[_all_of("L")], table[_all_of("N")] = _LETTER, _NUMBER
         table[list(_BLANKS)] = _SPACE
         odd = np.random.default_rng(5).integers(1, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         _TABLES.extend((table, odd))
@@ -107,6 +127,13 @@ def text_chunks(texts: list[str], limit: int = CHUNK):
         yield now
 
 
+def largest_id(path: str) -> int:
+    """The largest id of a tokenizer's .json."""
+    with open(path, encoding="utf-8") as f:
+        loaded = json.load(f)
+    return max([*loaded["model"]["vocab"].values(), *(t["id"] for t in loaded["added_tokens"])])
+
+
 class Forms:
     """Distinct pre-tokens seen by this worker, by hash, with what solve(strings) gives for each: a ragged array of numbers."""
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import ARROW_ROWS, cut, small_batches, text_or_empty
 from .packing import CAPACITY, END_ID, Plan, encoded, piece_sizes, place
+from .pretokens import largest_id
 
 PAD_ID = 0
 #: Tokens that are packed together.
@@ -169,10 +170,11 @@ def packed_rows(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: in
     """One row per sequence: sequence_id, n_tokens, doc_ids, pieces, cu_seqlens, input_ids, position_ids.
 
     input_ids and position_ids are capacity numbers of width bytes each. Rows with null ids or texts are packed like
-    others (a null text has end_id alone); an empty table gives no rows.
+    others (a null text has end_id alone); an empty table gives no rows. Pieces of one length are placed in any order. An id
+    that width bytes can't hold is an error before any row is made.
     """
-    if width == 2 and capacity > 1 << 16:
-        raise ValueError("two bytes can't hold the positions")
+    if max(largest_id(path), capacity - 1, pad_id, end_id or 0) >= 1 << 8 * width:
+        raise ValueError(f"{width} bytes can't hold the ids or positions")
     small_batches(docs.sparkSession)
     kind = f"<u{width}"
     blocks = cut(_blocks(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text).alias("t")), path, capacity, end_id, kind), "packed-blocks")
