@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -48,6 +49,16 @@ def test_tiles_against_brute_force():
         assert sorted(mine) == sorted(brute_tiles(item, doc))
 
 
+def test_tiles_of_repeated_tokens():
+    """5,000 equal tokens against 50,000, and three letters in random order: seconds at most."""
+    began = time.perf_counter()
+    assert decontaminate.tiles(np.full(5000, 7, dtype=np.uint64), np.full(50_000, 7, dtype=np.uint64)) == [(0, 0, 5000)]
+    rng = np.random.default_rng(1)
+    laid = decontaminate.tiles(rng.integers(0, 3, 5000).astype(np.uint64), rng.integers(0, 3, 50_000).astype(np.uint64))
+    assert sum(n for _, _, n in laid) > 4000
+    assert time.perf_counter() - began < 20
+
+
 def test_windows_hash_alike():
     rng = random.Random(2)
     texts = [prose(rng, 30).encode() for _ in range(4)]
@@ -190,6 +201,16 @@ def test_spans_function(spark):
     assert [(s["start"], s["end"], s["value"]) for s in row] == [(1, 2, "1"), (3, 5, "22"), (6, 9, "333")]
 
 
+def test_many_spans_in_one_text(spark):
+    """100,000 matches in one text take seconds, and stand where they stand in the text."""
+    text = "é" + "".join(f"{k % 10}{'ab'[: k % 3]} " for k in range(100_000))
+    began = time.perf_counter()
+    row = spark.createDataFrame([(text,), ("7",), (None,)], "t string").select(spans(F.col("t"), "[0-9]").alias("s")).collect()
+    assert time.perf_counter() - began < 30
+    assert [(s["start"], s["end"]) for s in row[0]["s"]] == [m.span() for m in re.finditer("[0-9]", text)]
+    assert [(s["start"], s["end"], s["value"]) for s in row[1]["s"]] == [(0, 1, "7")] and row[2]["s"] == []
+
+
 def test_secrets_on_held_out_findings(spark):
     made = secrets.sample_findings(spark, 4000).withColumn("n", F.monotonically_increasing_id())
     model = secrets.trained(made.where("n % 4 <> 0"))

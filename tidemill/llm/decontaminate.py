@@ -4,12 +4,13 @@ Tokens are runs of letters and digits, lower-cased (every character beyond ASCII
 the windows of MIN_MATCH tokens that it shares with benchmark items are the seeds, and bound from above how much of an
 item it can cover. Where that bound reaches the threshold, greedy string tiling runs: the longest common run of
 unmarked tokens is marked in both, again and again until none of MIN_MATCH tokens is left. Runs are found by running
-Karp-Rabin: hashes of all windows of the search length are matched, extended and checked token by token, and the search
-length follows the longest run found and then shrinks. The share of an item's tokens under tiles is its coverage, in
+Karp-Rabin: hashes of all windows of the search length are matched and checked token by token, and the search length is
+halved towards the longest common run and then shrinks. The share of an item's tokens under tiles is its coverage, in
 whatever order its passages stand in the document. Tiles never overlap, in the item or in the document.
 
 A document is contaminated by an item if the coverage is at least MIN_COVERAGE. Items with under MIN_MATCH tokens, null
-or empty texts, and empty tables contaminate nothing. Repeated items and documents are each taken by themselves.
+or empty texts, and empty tables contaminate nothing. Repeated items and documents are each taken by themselves. Texts of
+any length are tiled whole.
 
 The benchmark is the query set of this search. It is cut into blocks of at most BLOCK_WORDS tokens (one longer item is a
 block of its own), and every block runs against all documents, with nothing but that block in memory.
@@ -25,12 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_chunks, small_batches, text_or_empty, window_hashes, words_of
+from .common import byte_chunks, fresh, small_batches, text_or_empty, window_hashes, words_of
 
 MIN_MATCH, MIN_COVERAGE = 5, 0.5
 #: Tokens of the benchmark in a block, 16 bytes and some each.
 BLOCK_WORDS = 1_000_000
-_START = 20
 
 _OTHER = re.compile(rb"[^0-9a-z\x80-\xff]+")
 
@@ -58,74 +58,85 @@ class Block:
         """Items of which the windows with these hashes could cover enough."""
         lo, hi = np.searchsorted(self.hashes, seeds), np.searchsorted(self.hashes, seeds, side="right")
         hits = np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange((hi - lo).sum())
-        covered = np.zeros(self.first[-1] + 1, dtype=np.int32)
-        begin = self.first[self.item[hits]] + self.at[hits]
-        touched = np.unique(self.item[hits])
-        np.add.at(covered, begin, 1)
-        np.add.at(covered, begin + MIN_MATCH, -1)
-        return [int(k) for k in touched if (np.cumsum(covered[self.first[k] : self.first[k + 1]]) > 0).sum() >= threshold * len(self.tokens[k])]
+        begin = np.sort(self.first[self.item[hits]] + self.at[hits])
+        item = np.searchsorted(self.first, begin, side="right") - 1
+        # Each window covers MIN_MATCH tokens, or those up to the next window of its item.
+        gap = np.minimum(np.append(begin[1:], begin[-1] + MIN_MATCH) - begin, MIN_MATCH)
+        last = np.append(item[1:] != item[:-1], True)
+        gap[last] = MIN_MATCH
+        heads = np.concatenate(([0], np.flatnonzero(last)[:-1] + 1))
+        covered = np.add.reduceat(gap, heads)
+        return [int(k) for k, n in zip(item[heads], covered, strict=True) if n >= threshold * len(self.tokens[k])]
 
 
 def tiles(item: np.ndarray, doc: np.ndarray, shortest: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """The greedy tiling of two token arrays: (start in item, start in doc, length), longest first; of equal ones, the first in item, then in doc."""
-    free_item, free_doc = np.ones(len(item), dtype=bool), np.ones(len(doc), dtype=bool)
+    """The greedy tiling of two token arrays: (start in item, start in doc, length), longest first; of equal ones, the first in item, then in doc.
+
+    The length of the longest common run of unmarked tokens is searched by halving, with the hashes of all windows of a
+    length; all runs of that length are marked in one pass, in which each place of the document is looked at once. So the
+    time follows the tokens and the number of different lengths, also where tokens repeat.
+    """
+    if min(len(item), len(doc)) < shortest:
+        return []
+    # Only the stretches of the document whose windows are in the item count; a gap stays between two of them.
+    hit = np.flatnonzero(np.isin(window_hashes(doc, shortest), window_hashes(item, shortest)))
+    if not len(hit):
+        return []
+    change = np.zeros(len(doc) + 1, dtype=np.int32)
+    np.add.at(change, hit, 1)
+    np.add.at(change, hit + shortest, -1)
+    open_ = np.cumsum(change[:-1]) > 0
+    kept = np.flatnonzero(open_ | np.append(False, open_[:-1]))
+    doc, free_doc, free_item = doc[kept], open_[kept], np.ones(len(item), dtype=bool)
     found: list[tuple[int, int, int]] = []
-    length = max(shortest, min(_START, len(item), len(doc)))
-    while True:
-        runs = _runs(item, doc, free_item, free_doc, length)
-        longest = max((r[2] for r in runs), default=0)
-        if longest > 2 * length:
-            length = longest
+    most = min(len(item), len(doc))
+    while most >= shortest and (length := _longest(item, doc, free_item, free_doc, shortest, most)):
+        found += [(a, int(kept[d]), length) for a, d in _marked(item, doc, free_item, free_doc, length)]
+        most = length - 1
+    return found
+
+
+def _windows(tokens: np.ndarray, free: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows of length unmarked tokens."""
+    before = np.concatenate(([0], np.cumsum(free)))
+    starts = np.flatnonzero(before[length:] - before[:-length] == length)
+    return starts, window_hashes(tokens, length)[starts]
+
+
+def _longest(item, doc, free_item, free_doc, shortest: int, most: int) -> int:
+    """The length of the longest common run of unmarked tokens, at most most; 0 if none has the shortest length."""
+    low, high = shortest - 1, most
+    while low < high:
+        middle = (low + high + 1) // 2
+        if np.isin(_windows(item, free_item, middle)[1], _windows(doc, free_doc, middle)[1]).any():
+            low = middle
+        else:
+            high = middle - 1
+    return low if low >= shortest else 0
+
+
+def _marked(item, doc, free_item, free_doc, length: int):
+    """(start in item, start in doc) of the runs of this length, each marked before the next is looked for."""
+    starts, hashes = _windows(item, free_item, length)
+    places, theirs = _windows(doc, free_doc, length)
+    both = np.intersect1d(hashes, theirs)
+    at: dict[int, list[int]] = {h: [] for h in both.tolist()}
+    there = np.isin(theirs, both)
+    for d, h in zip(places[there].tolist()[::-1], theirs[there].tolist()[::-1], strict=True):
+        at[h].append(d)
+    mine, until = np.isin(hashes, both), 0
+    for a, h in zip(starts[mine].tolist(), hashes[mine].tolist(), strict=True):
+        left = at[h]
+        # A window that meets a tile of this length has its first or its last token in it, and never becomes free again.
+        while left and not (free_doc[left[-1]] and free_doc[left[-1] + length - 1]):
+            left.pop()
+        if a < until or not left or not np.array_equal(item[a : a + length], doc[left[-1] : left[-1] + length]):
             continue
-        while runs:
-            # Longest first; a run that meets a tile is cut to what is left of it and waits for its turn.
-            runs.sort(key=lambda r: (-r[2], r[0], r[1]))
-            later = []
-            for i, (a, d, n) in enumerate(runs):
-                if later and n < max(x[2] for x in later):
-                    later += runs[i:]
-                    break
-                open_ = free_item[a : a + n] & free_doc[d : d + n]
-                if open_.all():
-                    free_item[a : a + n] = False
-                    free_doc[d : d + n] = False
-                    found.append((a, d, n))
-                else:
-                    later += [(a + s, d + s, e - s) for s, e in _stretches(open_) if e - s >= length]
-            runs = later
-        if length == shortest:
-            return found
-        length = max(shortest, length // 2)
-
-
-def _stretches(mask: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-    return list(zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True))
-
-
-def _runs(item, doc, free_item, free_doc, length) -> list[tuple[int, int, int]]:
-    """Maximal common runs of at least length unmarked tokens."""
-    table: dict[int, list[int]] = {}
-    for s, e in _stretches(free_item):
-        for k, h in enumerate(window_hashes(item[s:e], length).tolist()):
-            table.setdefault(h, []).append(s + k)
-    known = np.fromiter(table, dtype=np.uint64, count=len(table))
-    runs, ends = [], {}
-    for s, e in _stretches(free_doc):
-        hashes = window_hashes(doc[s:e], length)
-        for k in np.flatnonzero(np.isin(hashes, known)).tolist():
-            d = s + k
-            for a in table[int(hashes[k])]:
-                if ends.get(a - d, -1) >= a + length:  # inside a run of the same diagonal
-                    continue
-                if not np.array_equal(item[a : a + length], doc[d : d + length]):
-                    continue
-                n = length
-                while a + n < len(item) and d + n < len(doc) and free_item[a + n] and free_doc[d + n] and item[a + n] == doc[d + n]:
-                    n += 1
-                ends[a - d] = a + n
-                runs.append((a, d, n))
-    return runs
+        d = left.pop()
+        free_item[a : a + length] = False
+        free_doc[d : d + length] = False
+        until = a + length
+        yield a, d
 
 
 def _matches(block: Block, tokens: np.ndarray, seeds: np.ndarray, threshold: float):
@@ -210,7 +221,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = MIN_COVERAGE
     for block in _blocks(benchmark, "item_id", "text"):
         shared = spark.sparkContext.broadcast(block)
         names = out.columns
-        df = out.select("*", text_or_empty().alias("__whole"))
+        df = out.select("*", text_or_empty().alias(fresh(out, "whole")[0]))
 
         def run(batches, shared=shared, n=len(names), names=names):
             for b in batches:
