@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, fresh, text_or_empty
 
 MAX_RATIO, MIN_DOCS = 0.1, 3
 #: Boilerplate lines of all sites together that are broadcast, 8 bytes each and the site's name.
@@ -52,23 +52,37 @@ def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_docs: int = M
     return lines.join(totals, lines["site"].eqNullSafe(totals["s"])).where(F.col("n_docs") > F.lit(max_ratio) * F.col("site_docs")).select("site", "line", "n_docs", "site_docs")
 
 
-def drop_boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_docs: int = MIN_DOCS, site: str = "source", by_text: bool = False) -> DataFrame:
-    """docs with text cleaned, every other column as it was, and n_lines, n_dropped beside them."""
+def _marked(docs: DataFrame, max_ratio: float, min_docs: int, site: str, by_text: bool) -> tuple[DataFrame, Column, Column]:
+    """docs with a column of the lines that stay, those lines, and all lines."""
     bad = boilerplate(docs, max_ratio, min_docs, site, by_text)
-    lists = cut(bad.groupBy("site").agg(F.collect_set("line").alias("__bad")), "line-sites")
-    n = lists.agg(F.sum(F.size("__bad"))).head()[0] or 0
-    lists = lists.withColumnRenamed("site", "__site")
+    own_site, own_bad, own_stay = fresh(docs, "site", "bad", "stay")
+    lists = cut(bad.groupBy("site").agg(F.collect_set("line").alias(own_bad)), "line-sites")
+    n = lists.agg(F.sum(F.size(own_bad))).head()[0] or 0
+    lists = lists.withColumnRenamed("site", own_site)
     lists = F.broadcast(lists) if n <= BROADCAST_LINES else lists
-    joined = docs.join(lists, F.col(f"`{site}`").cast("string").eqNullSafe(F.col("__site")), "left")
+    joined = docs.join(lists, F.col(f"`{site}`").cast("string").eqNullSafe(F.col(own_site)), "left")
     lines = _lines(text_or_empty())
-    stays = F.filter(lines, lambda x: ~(_has_word(x) & F.array_contains(F.coalesce(F.col("__bad"), F.array().cast("array<bigint>")), _key(x))))
-    made = joined.withColumn("__stay", F.when(F.col("__bad").isNull(), lines).otherwise(stays))
-    keep = [F.col(f"`{c}`") if c != "text" else F.when(F.size("__stay") == F.size(lines), F.col("text")).otherwise(F.array_join("__stay", "\n")).alias("text") for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return made.select(*keep, F.size(lines).cast("bigint").alias("n_lines"), (F.size(lines) - F.size("__stay")).cast("bigint").alias("n_dropped"))
+    stays = F.filter(lines, lambda x: ~(_has_word(x) & F.array_contains(F.col(own_bad), _key(x))))
+    return joined.withColumn(own_stay, F.when(F.col(own_bad).isNull(), lines).otherwise(stays)), F.col(own_stay), lines
+
+
+def drop_boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_docs: int = MIN_DOCS, site: str = "source", by_text: bool = False) -> DataFrame:
+    """docs with text cleaned, every other column as it was, and n_lines, n_dropped beside them (columns of docs with these
+    two names are replaced). An empty table stays empty; texts of any length are whole."""
+    made, stay, lines = _marked(docs, max_ratio, min_docs, site, by_text)
+    keep = [F.col(f"`{c}`") if c != "text" else _text(stay, lines) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return made.select(*keep, F.size(lines).cast("bigint").alias("n_lines"), (F.size(lines) - F.size(stay)).cast("bigint").alias("n_dropped"))
+
+
+def _text(stay: Column, lines: Column) -> Column:
+    return F.when(F.size(stay) == F.size(lines), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("text")
 
 
-def clean(docs: DataFrame, **options) -> DataFrame:
-    """The documents in the columns they had, without their boilerplate lines; n_chars, if there, follows the text."""
-    out = drop_boilerplate(docs, **options)
-    new = {"n_chars": F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+def clean(docs: DataFrame, max_ratio: float = MAX_RATIO, min_docs: int = MIN_DOCS, site: str = "source", by_text: bool = False) -> DataFrame:
+    """The documents in the columns they had, whatever their names are, without their boilerplate lines; n_chars, if there,
+    follows the text."""
+    made, stay, lines = _marked(docs, max_ratio, min_docs, site, by_text)
+    new = {"text": _text(stay, lines)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size(stay) == F.size(lines), F.col("n_chars")).otherwise(F.length(F.array_join(stay, "\n"))).cast(docs.schema["n_chars"].dataType)
+    return made.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

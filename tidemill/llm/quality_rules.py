@@ -10,7 +10,7 @@ Failing lines are removed. A document that loses over max_lost of the characters
 and so is one that fails the base rules: under 50 words, or over half its words in repeated 3-word windows.
 
 Null text counts as empty: no words, rejected. Repeated rows are judged one by one, null ids stay null,
-and other columns are left alone.
+other columns are left alone, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ BOILERPLATE = ("all rights reserved", "cookie", "privacy policy", "terms of use"
 MIN_WORDS, SHORT_LINE, MAX_LOST = 50, 4, 0.4
 
 COUNTS = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType())]
+ADDED = [T.StructField(n, t) for n, t in COUNTS] + [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("lost_chars", T.LongType()), T.StructField("clean_text", T.StringType())]
 
 
 def line_fails(line: str) -> str | None:
@@ -94,31 +95,33 @@ def measure(text: str, max_lost: float = MAX_LOST) -> tuple[int, int, int, int,
     return len(words), chars, sum(map(text.count, SYMBOLS)), copies, repeated, failed, kept, lost, "\n".join(stays) if lost else text
 
 
-def assess(docs: DataFrame, max_lost: float = MAX_LOST, text: str = "text") -> DataFrame:
-    """docs with the counts, base_failed, kept, lost_chars and clean_text beside every column it had.
-
-    Columns of docs that clash with these names are replaced.
-    """
+def _rated(docs: DataFrame, max_lost: float, text: str) -> DataFrame:
+    """(row, n_words, ..., clean_text): every row of docs as one struct, beside what the rules find."""
     small_batches(docs.sparkSession)
-    added = [T.StructField(n, t) for n, t in COUNTS] + [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("lost_chars", T.LongType()), T.StructField("clean_text", T.StringType())]
-    names = {f.name for f in added}
-    df = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], text_or_empty(text).alias("__whole"))
-    schema = T.StructType([*[f for f in df.schema if f.name != "__whole"], *added])
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty(text).alias("whole"))
+    schema = T.StructType([df.schema["row"], *ADDED])
     types = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.int64(), pa.string()]
 
     def run(batches):
         for b in batches:
-            at = b.schema.get_field_index("__whole")
-            rows = [measure(t, max_lost) for t in b.column(at).to_pylist()]
-            cols = [b.column(i) for i in range(b.num_columns) if i != at]
-            cols += [pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            rows = [measure(t, max_lost) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)]], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def assess(docs: DataFrame, max_lost: float = MAX_LOST, text: str = "text") -> DataFrame:
+    """docs with the counts, base_failed, kept, lost_chars and clean_text beside every column it had.
+
+    Columns of docs that clash with these names are replaced. An empty table stays empty; texts of any length are whole.
+    """
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in {f.name for f in ADDED}]
+    return _rated(docs, max_lost, text).select(*own, *[f.name for f in ADDED])
+
+
 def clean(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
-    """The documents that pass, without their failing lines, in the columns they had; n_chars, if there, follows the text."""
-    rated = assess(docs, max_lost).where("kept")
+    """The documents that pass, without their failing lines, in the columns they had, whatever their names are; n_chars, if
+    there, follows the text."""
+    rated = _rated(docs, max_lost, "text").where("kept")
     new = {"text": F.col("clean_text")} | ({"n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rated.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return rated.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
