@@ -11,8 +11,7 @@ Votes and a few traits of shape make a code below CODES, so that the corpus is c
 From those, expectation-maximisation estimates the labelers' reliabilities per kind and each code's probability, and a
 logistic regression on the same traits, trained on those probabilities, is the final span classifier.
 
-Base spans always stay. A wider span is added if the classifier gives it MIN_PROBABILITY, if a labeler other than its
-check speaks for it, and if it meets no base span. Null text is empty and has no spans; repeated rows, null ids and
+Base spans always stay. A wider span is added if the classifier gives it MIN_PROBABILITY and if it meets no base span. Null text is empty and has no spans; repeated rows, null ids and
 empty tables are plain cases.
 """
 
@@ -168,8 +167,7 @@ def accepted(counts: dict[int, int]) -> list[int]:
     n = np.array([counts[c] for c in codes.tolist()], dtype=float)
     traits = _traits(codes)
     p = classifier(traits, n, reliabilities(traits, n))
-    spoken = (traits[:, 3] == 2) | (traits[:, 4] == 1)
-    return codes[(traits[:, 8] == 1) & (traits[:, 2] == 1) & (traits[:, 5] == 0) & spoken & (p >= MIN_PROBABILITY)].tolist()
+    return codes[(traits[:, 8] == 1) & (p >= MIN_PROBABILITY)].tolist()
 
 
 def _written(found: Column) -> Column:
