@@ -93,6 +93,25 @@ def test_addresses_and_names(spark):
         saga.resolver(names.withColumn("name", F.lit(""))).collect()
 
 
+def test_work_of_activities(spark):
+    t = spark.createDataFrame([(1, 1, "A", 3), (1, 2, "B", 4), (2, 1, "B", None)], "saga_id bigint, step_no bigint, activity string, arguments int")
+    work = {"A": (lambda x: x > 2, lambda x: x > 5), "B": (lambda x: x < 0, lambda x: F.lit(True))}
+    assert {(r["saga_id"], r["step_no"]): (r["ok"], r["undo_ok"]) for r in saga.performed(t, work).collect()} == {(1, 1): (True, False), (1, 2): (False, True), (2, 1): (False, True)}
+    with pytest.raises(PySparkException):
+        saga.performed(t, {"A": work["A"]}).collect()
+
+
+def test_indexed_wire_errors(spark):
+    """The first part that has no name or no activity, logs before items."""
+    names = spark.createDataFrame([(1, "work item", 0, ""), (1, "work log", 1, ""), (1, "work log", 0, "A"), (2, "work item", 2, ""), (3, "work item", 0, "A")], "saga_id bigint, part string, position int, activity string")
+    resolver = spark.createDataFrame([("A", "car", True)], "activity string, name string, registered boolean")
+    assert {tuple(r) for r in saga.unserializable(names, resolver).collect()} == {(1, "cannot serialize work log 1: activity type not registered"), (2, "cannot serialize work item 2: activity type not registered")}
+    text = '{"completedWorkLogs":[{"activityTypeName":"car","result":{}},{"activityTypeName":"van","result":{}}],"nextWorkItems":[{"activityTypeName":"bus","arguments":{}}]}'
+    slips = spark.createDataFrame([(1, text), (2, text.replace("van", "car")), (3, "{}")], "saga_id bigint, t string").select("saga_id", saga.parse_slip(F.col("t"))["slip"].alias("slip"))
+    known = spark.createDataFrame([("car",)], "name string")
+    assert {tuple(r) for r in saga.unreadable(slips, known).collect()} == {(1, "cannot deserialize work log 1: activity type not registered: van"), (2, "cannot deserialize work item 0: activity type not registered: bus")}
+
+
 def test_fold(spark):
     t = spark.createDataFrame([(1, 2, 5), (1, 1, 3), (2, 1, 4)], "k int, v int, p int")
     got = {r["k"]: r["state"] for r in saga.folded(t, "k", "v", F.lit(1), lambda s, p: s * 10 + p, "p").collect()}

@@ -6,18 +6,21 @@ is eligible once all messages that it depends on are processed; those that wait
 
 from __future__ import annotations
 
+import threading
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import json_keys
-from ..functions.partitions import belongs_to, by_uri
+from ..functions.partitions import belongs_to, by_uri, effective_worker
 from ..sources.log_tables import LogTable, unit_of_work
 
 KEY = ["tenant_id", "stream_type", "stream_id", "stream_position"]
-MESSAGES = "tenant_id string, stream_type string, stream_id string, stream_position bigint, uri string, payload string, metadata string, received_position bigint"
+MESSAGES = "tenant_id string, stream_type string, stream_id string, stream_position bigint, uri string, payload string, metadata string, event_id string, received_position bigint"
 ACKS = "tenant_id string, stream_type string, stream_id string, stream_position bigint, processed_position bigint"
 
 
@@ -86,6 +89,12 @@ def waves(messages: DataFrame, edges: DataFrame, step: Callable[[DataFrame], Dat
         done, n = ready if done is None else done.unionByName(ready), n + 1
 
 
+def retained(messages: DataFrame, acks: DataFrame, older_than: int) -> DataFrame:
+    """Messages that aren't processed, and those received after older_than."""
+    done = acks.select(*KEY).withColumn("__done", F.lit(True))
+    return messages.join(done, KEY, "left").where(F.col("__done").isNull() | (F.col("received_position") > older_than)).select(*messages.columns)
+
+
 def lag(messages: DataFrame, acks: DataFrame) -> DataFrame:
     """(lag): how far the last processed position is behind the last received one."""
     received = messages.agg(F.max("received_position").alias("r"))
@@ -119,9 +128,11 @@ class Inbox:
         canonical = rows.withColumn("stream_id", json_keys.canonical(F.col("stream_id")))
         order = F.col("arrival") if "arrival" in rows.columns else F.monotonically_increasing_id()
         start, stored = self._last(), self.messages.read()
-        fresh = first_arrivals(canonical.withColumn("received_position", order)).join(stored.select(*KEY), KEY, "left_anti")
-        everything = stored.select(*KEY, "metadata").unionByName(fresh.select(*KEY, "metadata"))
-        if event_id_conflicts(everything).limit(1).count():
+        named = canonical.withColumns({"received_position": order, "event_id": json_keys.event_id(F.col("metadata"))})
+        fresh = first_arrivals(named).join(stored.select(*KEY), KEY, "left_anti")
+        # Only stored messages with one of these event ids matter.
+        met = stored.select(*KEY, "event_id").join(fresh.select("event_id").distinct(), "event_id", "left_semi")
+        if not event_id_conflicts(met.unionByName(fresh.select(*KEY, "event_id")), F.col("event_id")).isEmpty():
             raise ValueError("duplicate event_id under another key")
         # Numbers in order without one task for all rows: a number within each sorted part, after the parts before it.
         # The parts are written first, so that counting and numbering see the same ones.
@@ -170,8 +181,49 @@ class Inbox:
             n += 1
         return n
 
+    def drain_waves(self, handler: Callable[[DataFrame], None], stop: Callable[[], bool] = lambda: False, **options) -> int:
+        """Dispatches waves until nothing is eligible or stop() says so, and returns how many."""
+        n = 0
+        while not stop() and self.dispatch_wave(handler, **options):
+            n += 1
+        return n
+
+    def poll(self, handler: Callable[[DataFrame], None], interval: float = 1.0, stop: Callable[[], bool] = lambda: False, concurrency: int = 1, process: int = 0, processes: int = 1) -> None:
+        """Hands on eligible messages, wave by wave, until stop() says so; with nothing eligible it looks again after interval
+        seconds. Each of the concurrent workers takes the keys that belong to it, as do those of other processes. An error in
+        a handler leaves its wave eligible; the other workers end their waves, and then it is raised."""
+        broken = threading.Event()
+
+        def work(local: int) -> None:
+            worker, workers = effective_worker(process, concurrency, local, processes)
+            while not (stop() or broken.is_set()):
+                try:
+                    idle = not self.dispatch_wave(handler, worker, workers)
+                except BaseException:
+                    broken.set()
+                    raise
+                if idle and not (stop() or broken.is_set()):
+                    broken.wait(interval)
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for done in [pool.submit(work, k) for k in range(concurrency)]:
+                done.result()
+
+    def iterate(self, interval: float = 1.0, stop: Callable[[], bool] = lambda: False) -> Iterator[Row]:
+        """Eligible message after message, in the order received; a message is acknowledged when the next one is asked for,
+        and not if the iterator is closed before. With nothing eligible it waits, until stop() says so."""
+        while not stop():
+            row = self.eligible().orderBy("received_position").limit(1).collect()
+            if row:
+                yield row[0]
+                self._processed(row[0])
+            elif not stop():
+                time.sleep(interval)
+
+    def _processed(self, row: Row) -> None:
+        self.acks.append(self.spark.createDataFrame([(*[row[k] for k in KEY], self._last() + 1)], ACKS))
+
     def apply_retention(self, older_than: int) -> None:
         """Takes away messages received up to older_than that are processed; their acknowledgements stay, for those
         that depend on them."""
-        done = self.acks.read().select(*KEY).withColumn("__done", F.lit(True))
-        self.messages.rewrite(lambda rows: rows.join(done, KEY, "left").where(F.col("__done").isNull() | (F.col("received_position") > older_than)))
+        self.messages.rewrite(lambda rows: retained(rows, self.acks.read(), older_than))

@@ -17,7 +17,7 @@ from ..functions import json_keys
 from ..functions.partitions import belongs_to, group_of_worker
 from ..sources.log_tables import LogTable, latest
 
-MESSAGES = "position bigint, transaction_id decimal(20,0), uri string, payload string, metadata string, created_at timestamp"
+MESSAGES = "position bigint, transaction_id decimal(20,0), uri string, payload string, metadata string, event_id string, created_at timestamp"
 OFFSETS = "consumer_group string, uri string, offset_acked bigint, last_processed_transaction_id decimal(20,0), updated_at timestamp"
 BATCH = 100
 START = (Decimal(0), 0)
@@ -66,15 +66,14 @@ def readable_rows(messages: DataFrame) -> DataFrame:
 
 
 def consumed_everywhere(messages: DataFrame, current: DataFrame) -> DataFrame:
-    """Messages below every group's position, both numbers taken as their least over the groups; one small row is joined."""
-    floor = current.agg(F.min("last_processed_transaction_id").alias("__tx"), F.min("offset_acked").alias("__pos"))
-    before = (F.col("transaction_id") < F.col("__tx")) | ((F.col("transaction_id") == F.col("__tx")) & (F.col("position") <= F.col("__pos")))
-    return messages.join(F.broadcast(floor), before, "left_semi")  # one row
+    """Messages below every group's position, both numbers taken as their least over the groups: a filter that the scan sees."""
+    floor = current.agg(F.min("last_processed_transaction_id").alias("tx"), F.min("offset_acked").alias("pos")).head()
+    return messages.limit(0) if floor["tx"] is None else messages.where(~after(floor["tx"], floor["pos"]))
 
 
 def duplicate_events(messages: DataFrame) -> DataFrame:
     """(event_id, n): event ids that several messages carry."""
-    return messages.withColumn("event_id", json_keys.field(F.col("metadata"), "event_id")).where("event_id is not null").groupBy("event_id").agg(F.count("*").alias("n")).where("n > 1")
+    return messages.withColumn("event_id", json_keys.event_id(F.col("metadata"))).where("event_id is not null").groupBy("event_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
 class Outbox:
@@ -96,18 +95,22 @@ class Outbox:
     def publish(self, n: int, rows: DataFrame) -> None:
         """Adds messages (uri, payload, metadata) to an open commit of self.messages, whose number is their transaction.
 
-        An event id that is no UUID, or that a message has already, is an error.
+        An event id that is no UUID, or that a message has already, is an error. Of the stored messages one column is read.
         """
-        rows = rows.withColumn("__id", json_keys.field(F.col("metadata"), "event_id"))
-        bad = rows.where(~json_keys.valid_uuid(F.col("__id"))).limit(1).count()
-        stored = self.messages.read().select(json_keys.field(F.col("metadata"), "event_id").alias("__id"))
-        twice = rows.groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id").union(rows.select("__id").join(stored, "__id", "left_semi")).limit(1).count()
-        if bad or twice:
-            raise ValueError("event_id is not a UUID" if bad else "duplicate event_id")
+        rows = rows.withColumn("event_id", json_keys.event_id(F.col("metadata")))
+        ids = rows.groupBy("event_id").agg(F.count("*").alias("n"))
+        if not ids.where(~json_keys.valid_uuid(F.col("event_id"))).isEmpty():
+            raise ValueError("event_id is not a UUID")
+        if not ids.where("n > 1").isEmpty() or not self.known(ids).isEmpty():
+            raise ValueError("duplicate event_id")
         place = F.monotonically_increasing_id() + 1
         when = F.col("created_at") if "created_at" in rows.columns else F.current_timestamp()
         self.messages.write(n, rows.withColumns({"position": place, "transaction_id": F.lit(n), "created_at": when}))
 
+    def known(self, ids: DataFrame) -> DataFrame:
+        """(event_id): those of ids that a message has."""
+        return self.messages.read().select("event_id").join(ids.select("event_id"), "event_id", "left_semi")
+
     def read(self) -> DataFrame:
         return self.messages.read()
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,40 +102,65 @@ def wire_names(registrations: DataFrame, activities: DataFrame) -> DataFrame:
     return activities.join(named, "activity", "left").select("activity", F.coalesce("__name", "activity").alias("name"), F.col("__name").isNotNull().alias("registered"))
 
 
+def unserializable(names: DataFrame, resolver: DataFrame) -> DataFrame:
+    """(saga_id, error): the first part of each slip that can't be written, logs before items; names: (saga_id, part, position,
+    activity), part being "work log" or "work item" and position counting from 0; resolver: wire_names. An activity travels
+    under its own name if none is registered, so only an empty name fails."""
+    named = names.join(resolver.select("activity", "name"), "activity", "left")
+    return _first_error(named.where(F.coalesce("name", "activity", F.lit("")) == ""), "serialize", F.lit("activity type not registered"))
+
+
+def unreadable(slips: DataFrame, registrations: DataFrame, key: str = "saga_id") -> DataFrame:
+    """(saga_id, error): the first part of each parsed slip (column slip) whose name no activity is registered for."""
+    parts = [slips.select(F.col(key).alias("saga_id"), F.lit(part).alias("part"), F.posexplode(f"slip.{of}").alias("position", "x")).select("saga_id", "part", "position", F.col("x.activityTypeName").alias("name")) for part, of in (("work log", "completedWorkLogs"), ("work item", "nextWorkItems"))]
+    missing = parts[0].union(parts[1]).join(registrations.select("name").distinct(), "name", "left_anti")
+    return _first_error(missing, "deserialize", F.concat(F.lit("activity type not registered: "), "name"))
+
+
+def _first_error(parts: DataFrame, action: str, reason: Column) -> DataFrame:
+    text = F.concat(F.lit(f"cannot {action} "), "part", F.lit(" "), F.col("position").cast("string"), F.lit(": "), reason)
+    place = F.struct((F.col("part") == "work item").alias("later"), "position")
+    return parts.groupBy("saga_id").agg(F.min_by(text, place).alias("error"))
+
+
+def performed(steps: DataFrame, work: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]], arguments: str = "arguments") -> DataFrame:
+    """steps with ok and undo_ok from each activity's pair of functions (do_work, compensate), both from the arguments column
+    to a boolean one. A null counts as a failure; an activity without functions ends the query."""
+    unknown = F.raise_error(F.concat(F.lit("no work for activity "), "activity")).cast("boolean")
+
+    def chosen(k: int) -> Column:
+        out = F.when(F.lit(False), F.lit(False))
+        for name, functions in work.items():
+            out = out.when(F.col("activity") == name, F.coalesce(functions[k](F.col(arguments)), F.lit(False)))
+        return out.otherwise(unknown)
+
+    return steps.withColumns({"ok": chosen(0), "undo_ok": chosen(1)})
+
+
 def run_hosts(steps: DataFrame) -> DataFrame:
     """(saga_id, delivery, direction, activity, result): every delivery of every workflow, with compensations that can refuse.
 
     steps has undo_ok as well. A failed step is not tried again; a compensation that returns false turns the workflow
-    forward to the steps still pending, so deliveries are at most twice the steps. A workflow's steps are few; each is folded by itself.
+    forward to the steps still pending, so deliveries are at most twice the steps. Workflows are folded one by one, with
+    their steps in an array.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        pending = rows.sort_values("step_no").to_dict("records")[::-1]
-        logs, forward, trace = [], True, []
-        while True:
-            if forward:
-                if not pending:
-                    break
-                step = pending.pop()
-                trace.append(("forward", step["activity"], bool(step["ok"])))
-                if step["ok"]:
-                    logs.append(step)
-                else:
-                    forward = False
-                    if not logs:
-                        break
-            else:
-                if not logs:
-                    break
-                step = logs.pop()
-                trace.append(("backward", step["activity"], bool(step["undo_ok"])))
-                forward = not step["undo_ok"]
-        out = pd.DataFrame(trace, columns=["direction", "activity", "result"])
-        out.insert(0, "saga_id", rows["saga_id"].iloc[0])
-        out.insert(1, "delivery", range(1, len(out) + 1))
-        return out
-
-    return steps.groupBy("saga_id").applyInPandas(fold, "saga_id bigint, delivery bigint, direction string, activity string, result boolean")
+    one = F.struct("step_no", "activity", F.col("ok").alias("ok"), F.col("undo_ok").alias("undo_ok"))
+    flows = steps.groupBy("saga_id").agg(F.array_sort(F.collect_list(one)).alias("steps"))
+    start = F.struct(F.lit(True).alias("forward"), F.lit(0).alias("next"), F.array().cast("array<int>").alias("logs"), F.array().cast("array<struct<at: int, forward: boolean, result: boolean>>").alias("trace"))
+
+    def deliver(s: Column, _: Column) -> Column:
+        last = F.size(s["logs"]) - 1
+        at = F.when(s["forward"], F.when(s["next"] < F.size("steps"), s["next"])).otherwise(F.get(s["logs"], last))
+        step = F.get(F.col("steps"), at)
+        result = F.when(s["forward"], step["ok"]).otherwise(step["undo_ok"])
+        logs = F.when(~s["forward"], F.slice(s["logs"], 1, last)).when(result, F.concat(s["logs"], F.array(at))).otherwise(s["logs"])
+        row = F.array(F.struct(at.alias("at"), s["forward"].alias("forward"), result.alias("result")))
+        moved = F.struct((s["forward"] == result).alias("forward"), (s["next"] + s["forward"].cast("int")).alias("next"), logs.alias("logs"), F.concat(s["trace"], row).alias("trace"))
+        return F.when(at.isNull(), s).otherwise(moved)
+
+    trace = F.aggregate(F.sequence(F.lit(1), 2 * F.size("steps")), start, deliver)["trace"]
+    rows = flows.select("saga_id", "steps", F.posexplode(trace).alias("n", "t"))
+    return rows.select("saga_id", (F.col("n") + 1).cast("bigint").alias("delivery"), F.when(F.col("t.forward"), "forward").otherwise("backward").alias("direction"), F.get("steps", F.col("t.at"))["activity"].alias("activity"), F.col("t.result").alias("result"))
 
 
 def folded(events: DataFrame, key: str, order: str, start: Column, apply: Callable[[Column, Column], Column], payload: str = "payload") -> DataFrame:

@@ -1,9 +1,9 @@
 """Filters over related tables: paths are outer joins, "some related row" is a semi join, "all of them" an anti join.
 
 A catalog names DataFrames and the relations between them. Predicates are Columns over the related table, or functions
-from that table's rows to the rows that satisfy them, so that quantifiers nest to any depth:
+from that table's rows to the rows that satisfy them, or quantifiers, which nest to any depth:
 
-    catalog.exists("customer", "orders", lambda orders: catalog.exists(orders, "lines", F.col("l_quantity") > 45))
+    catalog.exists("customer", "orders", Quantifier("lines", F.col("l_quantity") > 45))
 
 Logic is SQL's: a related row for which a predicate is unknown neither makes "some" true nor "all" false. Catalyst sees
 plain joins, so that predicates reach the scans and a small side is broadcast when its statistics allow.
@@ -18,7 +18,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Predicate = Column | Callable[[DataFrame], DataFrame] | None
 Pairs = tuple[tuple[str, str], ...]
 
 
@@ -48,6 +47,18 @@ class Row:
     rows: DataFrame
 
 
+@dataclass(frozen=True)
+class Quantifier:
+    """"Some related row along path satisfies predicate", or with every, "all of them do": a predicate for use in another one."""
+
+    path: str
+    predicate: Predicate = None
+    every: bool = False
+
+
+Predicate = Column | Callable[[Row], Row] | Quantifier | None
+
+
 @dataclass
 class Catalog:
     tables: dict[str, DataFrame]
@@ -92,11 +103,14 @@ class Catalog:
             return every.limit(0) if opposite else every
         if isinstance(predicate, Column):
             return every.where(~predicate if opposite else predicate)
-        kept = predicate(Row(table, every))
+        if isinstance(predicate, Quantifier) and not (opposite and "." in predicate.path):
+            # The opposite of "some row" is "no row", that of "no row fails" is "some row fails": the same keys either way.
+            return self._quantified(Row(table, every), predicate.path, predicate.predicate, predicate.every != opposite, predicate.every).rows
+        kept = predicate(Row(table, every)) if not isinstance(predicate, Quantifier) else self._satisfying(table, predicate)
         kept = kept.rows if isinstance(kept, Row) else kept
         if not opposite:
             return kept
-        # The rows that the nested filter leaves out, as whole rows: null-safe over all columns.
+        # A filter of one's own: the rows that it leaves out, as whole rows, null-safe over all columns.
         marked = kept.distinct()
         test = reduce(lambda a, b: a & b, (F.col(f"__all.{c}").eqNullSafe(F.col(f"__kept.{c}")) for c in every.columns))
         return every.alias("__all").join(marked.alias("__kept"), test, "left_anti")
@@ -112,8 +126,9 @@ class Catalog:
         met = junction.join(target, reduce(lambda a, b: a & b, (F.col(f"__j{i}") == F.col(f"__t{i}") for i in range(len(r.right)))), "left_semi")
         return met.select(*[f"__k{i}" for i in range(len(r.left))]), [(p, f"__k{i}") for i, (p, _) in enumerate(r.left)]
 
-    def _quantified(self, of: str | Row, path: str, predicate: Predicate, how: str, opposite: bool) -> Row:
-        own = self.rows(of)
+    def _quantified(self, of: str | Row, path: str, predicate: Predicate, without: bool, opposite: bool) -> Row:
+        """Rows with a related row that satisfies the predicate (opposite: that fails it), or those without one."""
+        own, how = self.rows(of), "left_anti" if without else "left_semi"
         *hops, last = path.split(".")
         if hops:
             # Hops before the last are inner joins: they filter and multiply the rows, as a join to them would.
@@ -128,11 +143,11 @@ class Catalog:
 
     def exists(self, of: str | Row, path: str, predicate: Predicate = None) -> Row:
         """Rows with a related row that satisfies the predicate."""
-        return self._quantified(of, path, predicate, "left_semi", False)
+        return self._quantified(of, path, predicate, False, False)
 
     def forall(self, of: str | Row, path: str, predicate: Predicate) -> Row:
         """Rows without a related row that fails the predicate; true for rows without any."""
-        return self._quantified(of, path, predicate, "left_anti", True)
+        return self._quantified(of, path, predicate, True, True)
 
     def marked(self, of: str | Row, path: str, predicate: Predicate, name: str) -> Row:
         """The rows with a boolean column: whether a related row satisfies the predicate. For use under OR and NOT."""
