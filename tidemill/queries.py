@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +12,9 @@ from pyspark.sql import types as T
 
 from .functions import decimal4, encryption, json_keys, partitions, scalars, values
 from .operators import inbox, outbox, saga
-from .plans.relations import Catalog, ManyToMany, OneToMany
+from .plans.relations import Catalog, ManyToMany, OneToMany, Quantifier
 from .sources import derived as d
+from .sources.log_tables import unit_of_work
 from .sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,7 +145,7 @@ def spec_exists_or(spark, sf_dir):
 @query("SELECT n_nationkey FROM nation WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND NOT (EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')))")
 def spec_forall_nested(spark, sf_dir):
     c = catalog(spark, sf_dir)
-    return c.forall("nation", "customers", lambda x: c.exists(x, "orders", F.col("o_orderstatus") == "O")).rows.select("n_nationkey")
+    return c.forall("nation", "customers", Quantifier("orders", F.col("o_orderstatus") == "O")).rows.select("n_nationkey")
 
 
 # Nested values.
@@ -194,16 +197,51 @@ def json_path_get(spark, sf_dir):
     return _table(spark, sf_dir, "events").where(k.cast("int") > 90).select("event_id", k.alias("k"))
 
 
+@query("SELECT c_custkey, c_name || '/' || c_mktsegment AS joined, CAST(NULL AS BIGINT) AS wrong_sum, CAST(NULL AS BIGINT) AS wrong_size, CAST(NULL AS BIGINT) AS wrong_sign FROM customer")
+def value_texts(spark, sf_dir):
+    rows, text, number = _table(spark, sf_dir, "customer"), T.StringType(), T.LongType()
+    name, key = F.col("c_name"), F.col("c_custkey")
+    joined = values.plus(values.plus(name, text, F.lit("/"), text), text, F.col("c_mktsegment"), text)
+    wrong = {"wrong_sum": values.plus(name, text, key, number), "wrong_size": values.size_of(key, number), "wrong_sign": values.minus_of(name, text)}
+    return rows.select("c_custkey", joined.alias("joined"), *[c.cast("bigint").alias(k) for k, c in wrong.items()])
+
+
+@query("""SELECT o_custkey, CASE WHEN count(*) = 1 THEN min(o_orderpriority) END AS single, CASE WHEN count(*) > 1 THEN string_agg(o_orderpriority, ',' ORDER BY o_orderpriority) END AS several
+FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey""")
+def value_single_or_list(spark, sf_dir):
+    found = values.each(values.items_where(F.col("items"), lambda x: x["status"] == "P"), lambda x: x["priority"])
+    rows = _nested(spark, sf_dir).select("o_custkey", values.single_or_list(found).alias("m")).where("m.single is not null or size(m.several) > 0")
+    return rows.select("o_custkey", "m.single", F.array_join(F.array_sort("m.several"), ",").alias("several"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN md5(CAST(event_id AS VARCHAR)) END AS named FROM events")
+def json_event_id(spark, sf_dir):
+    digest = F.md5(F.col("event_id").cast("string"))
+    meta = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"event_id": "'), digest, F.lit('"}'))).when(F.col("event_id") % 3 == 1, '{"event_id": 5}').otherwise("{")
+    return _table(spark, sf_dir, "events").select("event_id", json_keys.event_id(meta).alias("named"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '{}' ELSE replace(props, ' ', '') END AS payload, '{}' AS metadata FROM events")
+def json_malformed(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, "{").otherwise(F.col("props")).alias("payload"), F.lit("x").alias("metadata"))
+    return outbox.readable_rows(rows)
+
+
+@query("SELECT event_type || '-' || CAST(user_id % 10 AS VARCHAR) AS part, CAST(('0x' || substr(md5(event_type || '-' || CAST(user_id % 10 AS VARCHAR)), 1, 8))::BIGINT % 5 AS INTEGER) AS worker, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
+def partition_by_expression(spark, sf_dir):
+    part = partitions.by_expression("concat(event_type, '-', user_id % 10)")
+    return _table(spark, sf_dir, "events").groupBy(part.alias("part"), partitions.worker_of(part, 5).alias("worker")).agg(F.count("*").alias("n"))
+
+
 # Numbers.
 
-_RAW = "CAST(round(l_extendedprice * 100) AS BIGINT) * 100"
-_RATE = "CAST(round(l_discount * 100) AS BIGINT) * 100"
+_RAW = "CAST(round(l_extendedprice * 10000) AS BIGINT)"
+_RATE = "CAST(round(l_discount * 10000) AS BIGINT)"
 
 
 def _amounts(spark, sf_dir) -> DataFrame:
     line = _table(spark, sf_dir, "lineitem")
-    cents = lambda c: F.round(F.col(c) * 100).cast("bigint") * 100
-    return line.select("l_orderkey", "l_linenumber", "l_partkey", cents("l_extendedprice").alias("price"), cents("l_discount").alias("rate"), "l_quantity")
+    return line.select("l_orderkey", "l_linenumber", "l_partkey", decimal4.from_double(F.col("l_extendedprice")).alias("price"), decimal4.from_double(F.col("l_discount")).alias("rate"), "l_quantity")
 
 
 @query(f"SELECT l_orderkey, l_linenumber, l_partkey, ({_RAW} * ({_RATE} - 300)) // 10000 AS product FROM lineitem")
@@ -223,6 +261,62 @@ def decimal4_show(spark, sf_dir):
     return _amounts(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", decimal4.show(product).alias("shown")).withColumn("parsed", decimal4.parse(F.col("shown")))
 
 
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, p + r AS added, abs(r - p) AS size, least(p, 30000000) AS low, greatest(p, 30000000) AS high, greatest(r - 500, 0) AS cut, r * 3 AS tripled,
+r = 0 AS zero, p > 0 AS positive, r - 500 < 0 AS negative, r >= 500 AS not_negative, p / 10000.0 AS as_double, p // 10000 AS as_int, p = r AS same, r < p AS earlier
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, {_RAW} AS p, {_RATE} AS r FROM lineitem)""")
+def decimal4_parts(spark, sf_dir):
+    p, r, m = F.col("price"), F.col("rate"), decimal4.from_raw(F.lit(30000000))
+    less = decimal4.subtract(r, F.lit(500))
+    parts = {
+        "added": decimal4.add(p, r),
+        "size": decimal4.absolute(decimal4.subtract(r, p)),
+        "low": decimal4.least(p, m),
+        "high": decimal4.greatest(p, m),
+        "cut": decimal4.not_negative(less),
+        "tripled": decimal4.scaled(r, 3),
+        "zero": decimal4.is_zero(r),
+        "positive": decimal4.is_positive(p),
+        "negative": decimal4.is_negative(less),
+        "not_negative": decimal4.is_not_negative(less),
+        "as_double": decimal4.to_double(p),
+        "as_int": decimal4.to_int(p),
+        "same": p == r,
+        "earlier": r < p,
+    }
+    return _amounts(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", *[c.alias(k) for k, c in parts.items()])
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, {_RAW} AS parsed FROM lineitem")
+def decimal4_parse_strict(spark, sf_dir):
+    return _amounts(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", decimal4.parse_strict(decimal4.show(F.col("price"))).alias("parsed"))
+
+
+@query("SELECT event_id, user_id AS id, CAST(user_id AS VARCHAR) AS shown, 'User(' || user_id || ')' AS named FROM events")
+def entity_ids(spark, sf_dir):
+    users = scalars.Bounded("User", 0, 10**9)
+    return _table(spark, sf_dir, "events").select("event_id", scalars.entity_id(F.col("user_id")).alias("id"), scalars.show_entity_id(F.col("user_id")).alias("shown"), users.show(F.col("user_id")).alias("named"))
+
+
+@query("SELECT event_id, ts < TIMESTAMP '2024-01-03 12:00:00' AS earlier FROM events")
+def clock_fixed(spark, sf_dir):
+    clock = scalars.FixedClock(datetime(2024, 1, 2))
+    clock.advance(timedelta(hours=36))
+    return _table(spark, sf_dir, "events").select("event_id", (F.col("ts") < clock.now()).alias("earlier"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal + 1 ELSE c_nationkey END AS recovered, CASE WHEN c_acctbal < 0 THEN 'customer is negative' END AS error,
+CASE WHEN c_acctbal >= 0 AND c_nationkey > 2 THEN c_acctbal + 1 + c_nationkey END AS total, CASE WHEN c_acctbal < 0 THEN 'negative' WHEN c_nationkey <= 2 THEN 'far' END AS first_error FROM customer""")
+def result_combinators(spark, sf_dir):
+    plain = scalars.guard(F.col("c_acctbal") >= 0, F.lit("negative"), F.col("c_acctbal"))
+    more = scalars.map_ok(plain, lambda x: x + 1)
+    near = scalars.of_option(F.when(F.col("c_nationkey") > 2, F.col("c_nationkey").cast("double")), F.lit("far"))
+    pair = scalars.both(more, near)
+    recovered = scalars.or_else(more, scalars.ok(F.col("c_nationkey").cast("double")))
+    named = scalars.map_error(plain, lambda e: F.concat(F.lit("customer is "), e))
+    total = scalars.map_ok(pair, lambda x: x["left"] + x["right"])
+    return _table(spark, sf_dir, "customer").select("c_custkey", scalars.to_option(recovered).alias("recovered"), scalars.to_error(named).alias("error"), scalars.to_option(total).alias("total"), scalars.to_error(total).alias("first_error"))
+
+
 @query("SELECT c_custkey, CAST(least(greatest(CAST(trunc(c_acctbal) AS BIGINT), 0), 5000) AS BIGINT) AS clamped, CASE WHEN CAST(trunc(c_acctbal) AS BIGINT) BETWEEN 0 AND 5000 THEN CAST(trunc(c_acctbal) AS BIGINT) END AS bounded FROM customer")
 def bounded_clamp(spark, sf_dir):
     score, whole = scalars.Bounded("Score", 0, 5000), F.col("c_acctbal").cast("bigint")
@@ -279,12 +373,12 @@ def outbox_retention(spark, sf_dir):
     return outbox.consumed_everywhere(d.derived(spark, sf_dir, d.OUTBOX), current).select("position", "transaction_id")
 
 
-@query("SELECT event_id, concat('group:', CAST(user_id % 4 AS VARCHAR)) AS own_group, CAST(user_id % 4 AS BIGINT) AS worker FROM events WHERE event_id < 1000")
+@query("SELECT event_id, concat('group:', CAST(user_id % 4 AS VARCHAR)) AS own_group, CAST(user_id % 4 AS BIGINT) AS worker FROM events")
 def outbox_worker_groups(spark, sf_dir):
     pairs = [partitions.effective_worker(p, 2, k, 2) for p in range(2) for k in range(2)]
     names = spark.createDataFrame([(w, partitions.group_of_worker("group", w, n)) for w, n in pairs], "worker bigint, own_group string")
-    events = _table(spark, sf_dir, "events").where("event_id < 1000").select("event_id", (F.col("user_id") % 4).alias("worker"))
-    return events.join(names, "worker").select("event_id", "own_group", "worker")
+    events = _table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 4).alias("worker"))
+    return events.join(F.broadcast(names), "worker").select("event_id", "own_group", "worker")  # four rows
 
 
 @query("SELECT md5(CAST(event_id % 9000 AS VARCHAR)) AS event_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1 HAVING count(*) > 1")
@@ -356,8 +450,7 @@ def inbox_partition_stream(spark, sf_dir):
 @query(f"SELECT {_COLUMNS} FROM {_IN} WHERE NOT ({_ACKED}) OR received_position > 500000")
 def inbox_retention(spark, sf_dir):
     rows = d.derived(spark, sf_dir, d.INBOX)
-    waiting = inbox.unprocessed(rows, _acks(rows)).select(*_COLUMNS.split(", "))
-    return waiting.unionByName(rows.where(_ACKED).where("received_position > 500000").select(*_COLUMNS.split(", ")))
+    return inbox.retained(rows, _acks(rows), 500000).select(*_COLUMNS.split(", "))
 
 
 @query("SELECT event_id, event_type AS stream_type, '{\"id\":' || user_id || '}' AS stream_id, event_id // 3 AS stream_position FROM events WHERE event_id % 4 <> 0")
@@ -368,6 +461,59 @@ def inbox_dependencies(spark, sf_dir):
     return found.select("event_id", "d.stream_type", "d.stream_id", "d.stream_position")
 
 
+def _uuid(c):
+    return F.regexp_replace(F.md5(c.cast("string")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def _log_folder(spark: SparkSession) -> str:
+    """A new folder for log tables where all executors see it."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{where.rstrip('/')}/logs-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT uri, CAST(count(*) AS BIGINT) AS n FROM {_OUT} WHERE uri = 'kafka://click' OR starts_with(uri, 'kafka://click/') GROUP BY uri")
+def outbox_dispatch(spark, sf_dir):
+    """Messages published in two commits and handed to a group of two workers until none is left."""
+    where = _log_folder(spark)
+    box = outbox.Outbox(spark, where, batch_size=20_000).setup()
+    rows = d.derived(spark, sf_dir, d.OUTBOX).select("position", "uri", "payload", F.concat(F.lit('{"event_id": "'), _uuid(F.col("position")), F.lit('"}')).alias("metadata"))
+    for half in range(2):
+        with unit_of_work(box.messages) as (n,):
+            box.publish(n, rows.where(F.col("position") % 2 == half))
+    for worker in range(2):
+        box.drain(lambda batch: batch.select("uri").write.mode("append").parquet(f"{where}/taken"), group="g", uri="kafka://click", worker=worker, workers=2)
+    return spark.read.schema("uri string").parquet(f"{where}/taken").groupBy("uri").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT tenant_id, stream_type, stream_id, stream_position, row_number() OVER (ORDER BY event_id % 2, received_position) AS received_position FROM {_IN} m")
+def inbox_publish(spark, sf_dir):
+    """Messages stored once: the even ones, then all of them."""
+    box = inbox.Inbox(spark, _log_folder(spark)).setup()
+    rows = _deliveries(spark, sf_dir)
+    for part in (rows.where("event_id % 2 = 0"), rows):
+        box.publish(part)
+    return box.read().select(*_COLUMNS.split(", "))
+
+
+def _deliveries(spark, sf_dir) -> DataFrame:
+    """Messages of which those at even positions of their streams depend on the one before."""
+    needs = F.concat(F.lit(', "causal_dependencies": [{"tenant_id": "'), "tenant_id", F.lit('", "stream_type": "'), "stream_type", F.lit('", "stream_id": '), "stream_id", F.lit(', "stream_position": '), F.col("stream_position") - 1, F.lit("}]"))
+    meta = F.concat(F.lit('{"event_id": "'), _uuid(F.col("event_id")), F.lit('"'), F.when(F.col("stream_position") % 2 == 0, needs).otherwise(""), F.lit("}"))
+    return d.derived(spark, sf_dir, d.INBOX).withColumns({"uri": F.lit("kafka://in"), "metadata": meta, "arrival": F.col("received_position")})
+
+
+@query(f"""SELECT m.tenant_id, m.stream_type, m.stream_id, m.stream_position, CASE WHEN m.stream_position % 2 = 0 THEN 1 ELSE 0 END AS wave FROM {_IN} m
+WHERE m.stream_position % 2 = 1 OR EXISTS (SELECT 1 FROM {_IN} p WHERE p.tenant_id = m.tenant_id AND p.stream_type = m.stream_type AND p.stream_id = m.stream_id AND p.stream_position = m.stream_position - 1)""")
+def inbox_dispatch(spark, sf_dir):
+    """Waves of eligible messages, handed on and acknowledged until none is left."""
+    where = _log_folder(spark)
+    box = inbox.Inbox(spark, where).setup()
+    box.publish(_deliveries(spark, sf_dir))
+    waves = iter(range(1_000_000))
+    box.drain_waves(lambda rows: rows.select(*inbox.KEY).withColumn("wave", F.lit(next(waves))).write.mode("append").parquet(f"{where}/taken"))
+    return spark.read.schema("tenant_id string, stream_type string, stream_id string, stream_position bigint, wave int").parquet(f"{where}/taken")
+
+
 # Events, workflows, keys.
 
 
@@ -462,7 +608,96 @@ def saga_slip_json(spark, sf_dir):
     return rows.select("saga_id", saga.slip_json(F.col("logs"), F.col("items")).alias("slip"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE flows AS (SELECT saga_id, list({{'a': activity, 'ok': ok, 'undo': step_no * saga_id % 7 <> 0}} ORDER BY step_no) AS steps FROM {_SAGA} GROUP BY saga_id),
+run AS (SELECT saga_id, CAST(0 AS BIGINT) AS delivery, TRUE AS forward, 1 AS next, CAST([] AS INTEGER[]) AS logs, CAST(NULL AS VARCHAR) AS direction, CAST(NULL AS VARCHAR) AS activity, CAST(NULL AS BOOLEAN) AS result FROM flows
+UNION ALL SELECT saga_id, delivery + 1, forward = res, CASE WHEN forward THEN next + 1 ELSE next END, CASE WHEN NOT forward THEN logs[1:len(logs) - 1] WHEN res THEN list_append(logs, spot) ELSE logs END,
+CASE WHEN forward THEN 'forward' ELSE 'backward' END, act, res FROM (SELECT r.*, steps[r.spot].a AS act, CASE WHEN forward THEN steps[r.spot].ok ELSE steps[r.spot].undo END AS res, len(steps) AS n
+FROM (SELECT *, CASE WHEN forward THEN next ELSE logs[len(logs)] END AS spot FROM run) r JOIN flows USING (saga_id)) WHERE spot IS NOT NULL AND spot <= n)
+SELECT saga_id, delivery, direction, activity, result FROM run WHERE delivery > 0""")
 def saga_hosts(spark, sf_dir):
     """Deliveries where every seventh compensation refuses."""
     return saga.run_hosts(d.derived(spark, sf_dir, d.SAGA).withColumn("undo_ok", F.col("step_no") * F.col("saga_id") % 7 != 0))
+
+
+_WORK = ("CASE activity WHEN 'error' THEN FALSE WHEN 'click' THEN step_no % 5 <> 0 ELSE TRUE END", "step_no % 2 = 0")
+
+
+@query(f"SELECT saga_id, step_no, activity, {_WORK[0]} AS ok, {_WORK[1]} AS undo_ok FROM {_SAGA}")
+def saga_performed(spark, sf_dir):
+    """Steps with the results of each activity's functions."""
+    rows = d.derived(spark, sf_dir, d.SAGA).drop("ok").withColumn("arguments", F.col("step_no"))
+    undo = lambda x: x % 2 == 0
+    work = dict.fromkeys(("view", "signup", "purchase"), (lambda x: F.lit(True), undo))
+    work |= {"error": (lambda x: F.lit(False), undo), "click": (lambda x: x % 5 != 0, undo)}
+    return saga.performed(rows, work).select("saga_id", "step_no", "activity", "ok", "undo_ok")
+
+
+@query(f"""SELECT saga_id, step_no, uri, activity, direction FROM (SELECT saga_id, step_no, CASE WHEN ok THEN 'sb://./' || activity ELSE 'sb://./' || activity || 'Compensation' END AS uri, activity, CASE WHEN ok THEN 'forward' ELSE 'backward' END AS direction FROM {_SAGA})
+WHERE activity <> 'view'""")
+def saga_deliveries(spark, sf_dir):
+    """Messages with the activity that accepts them; nobody takes those for view."""
+    rows = d.derived(spark, sf_dir, d.SAGA)
+    uri = F.when(F.col("ok"), saga.work_address(F.col("activity"))).otherwise(saga.compensation_address(F.col("activity")))
+    known = rows.select("activity").where("activity <> 'view'").distinct()
+    return saga.deliveries(rows.select("saga_id", "step_no", uri.alias("uri")), known).select("saga_id", "step_no", "uri", "activity", "direction")
+
+
+@query("SELECT event_type || CAST(user_id % 3 AS VARCHAR) AS name, arg_max('A' || CAST(event_id % 7 AS VARCHAR), event_id) AS activity FROM events GROUP BY 1")
+def saga_resolver(spark, sf_dir):
+    return saga.resolver(_registrations(spark, sf_dir))
+
+
+def _registrations(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "events").select(F.concat("event_type", (F.col("user_id") % 3).cast("string")).alias("name"), F.concat(F.lit("A"), (F.col("event_id") % 7).cast("string")).alias("activity"), F.col("event_id").alias("registered_no"))
+
+
+@query("""SELECT activity, coalesce(name, activity) AS name, name IS NOT NULL AS registered FROM (SELECT DISTINCT 'A' || CAST(event_id % 9 AS VARCHAR) AS activity FROM events)
+LEFT JOIN (SELECT 'A' || CAST(event_id % 7 AS VARCHAR) AS activity, arg_max(event_type || CAST(user_id % 3 AS VARCHAR), event_id) AS name FROM events GROUP BY 1) USING (activity)""")
+def saga_wire_names(spark, sf_dir):
+    known = _table(spark, sf_dir, "events").select(F.concat(F.lit("A"), (F.col("event_id") % 9).cast("string")).alias("activity")).distinct()
+    return saga.wire_names(_registrations(spark, sf_dir), known)
+
+
+@query(f"""SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'expected JSON object for routing slip' WHEN 2 THEN 'missing field "arguments"' WHEN 3 THEN 'field "completedWorkLogs" is not an array' END AS error,
+CASE WHEN event_id % 4 = 0 THEN event_type END AS first_log, CASE WHEN event_id % 4 = 0 THEN '{{}}' END AS arguments FROM events""")
+def saga_parse_slip(spark, sf_dir):
+    """Slips read from texts, with defaults for what is missing and an error for what is malformed."""
+    log = F.concat(F.lit('{"activityTypeName":"'), "event_type", F.lit('","result":{"a":1}}'))
+    good = F.concat(F.lit('{"completedWorkLogs":['), log, F.lit('],"nextWorkItems":[{"activityTypeName":"B","arguments":null}]}'))
+    text = F.when(F.col("event_id") % 4 == 0, good).when(F.col("event_id") % 4 == 1, "[]").when(F.col("event_id") % 4 == 2, '{"nextWorkItems":[{"activityTypeName":"B"}]}').otherwise('{"completedWorkLogs":5}')
+    rows = _table(spark, sf_dir, "events").select("event_id", saga.parse_slip(text).alias("p"))
+    first = lambda items: F.get(F.col(f"p.slip.{items}"), 0)
+    return rows.select("event_id", "p.error", first("completedWorkLogs")["activityTypeName"].alias("first_log"), first("nextWorkItems")["arguments"].alias("arguments"))
+
+
+@query("""SELECT event_id AS saga_id, CASE WHEN event_type = 'error' THEN 'cannot deserialize work log 0: activity type not registered: error' ELSE 'cannot deserialize work item 1: activity type not registered: C' END AS error
+FROM events WHERE event_type = 'error' OR event_id % 2 = 0""")
+def saga_unreadable(spark, sf_dir):
+    """Parsed slips of which a part names an activity that isn't registered."""
+    log = F.concat(F.lit('{"activityTypeName":"'), "event_type", F.lit('","result":{}}'))
+    items = F.when(F.col("event_id") % 2 == 0, '{"activityTypeName":"B","arguments":{}},{"activityTypeName":"C","arguments":{}}').otherwise('{"activityTypeName":"B","arguments":{}}')
+    text = F.concat(F.lit('{"completedWorkLogs":['), log, F.lit('],"nextWorkItems":['), items, F.lit("]}"))
+    events = _table(spark, sf_dir, "events")
+    slips = events.select(F.col("event_id").alias("saga_id"), saga.parse_slip(text)["slip"].alias("slip"))
+    known = events.where("event_type <> 'error'").select(F.col("event_type").alias("name")).distinct().union(spark.createDataFrame([("B",)], "name string"))
+    return saga.unreadable(slips, known)
+
+
+@query("SELECT user_id AS member, event_id, props AS payload FROM events")
+def erasure_rotated(spark, sf_dir):
+    """Payloads read after the key of keys was changed."""
+    old, new = encryption.KeyOfKeys(bytes(range(32))), encryption.KeyOfKeys(bytes(range(1, 33)))
+    events = _table(spark, sf_dir, "events")
+    plain = events.select("user_id").distinct().select(F.col("user_id").alias("key_id"), F.unhex(F.sha2(F.col("user_id").cast("string"), 256)).alias("data_key"))
+    keys = encryption.rotated(plain.select("key_id", encryption.wrapped(F.col("data_key"), old).alias("wrapped")), old, new)
+    rows = events.join(plain, F.col("user_id") == F.col("key_id")).select("key_id", "event_id", encryption.encrypted(F.col("props"), F.col("data_key")).alias("payload"))
+    return encryption.readable(rows, keys, new).select(F.col("key_id").alias("member"), "event_id", "payload")
+
+
+@query("SELECT DISTINCT user_id AS member, CAST(1 AS INTEGER) AS keys_destroyed, CAST(1 AS INTEGER) AS aggregates_affected FROM events WHERE user_id % 5 = 0")
+def erasure_counts(spark, sf_dir):
+    """What each shredded member's erasure reports."""
+    members = _table(spark, sf_dir, "events").select(F.col("user_id").alias("key_id")).distinct()
+    gone = members.where("key_id % 5 = 0")
+    kept, counts = encryption.shred_members(members, gone)
+    return members.join(kept, "key_id", "left_anti").select(F.col("key_id").alias("member"), *[F.lit(n).alias(k) for k, n in counts.items()])
