@@ -20,7 +20,7 @@ def awkward(spark):
     docs = documents(spark, [None, "", " \n\t ", "One line.", "One line.", "word", None], [1, 2, 3, 4, 4, None, None])
     from pyspark.sql import functions as F
 
-    for name in ("fp", "t", "length", "offset", "piece", "code", "spans", "value", "hash", "n_words", "kept", "component_id", "sequence_id", "n_lines", "rule", "tag", "ids"):
+    for name in ("__whole", "__mark", "__id", "__place", "__stay", "whole", "row", "mark", "id", "site", "bad", "stay", "base_failed", "lost_chars", "clean_text", "n_dropped", "rows", "fp", "t", "length", "offset", "piece", "code", "spans", "value", "hash", "n_words", "kept", "component_id", "sequence_id", "n_lines", "rule", "tag", "ids"):
         docs = docs.withColumn(name, F.lit("clash"))
     return docs
 

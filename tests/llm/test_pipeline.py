@@ -1,26 +1,51 @@
 """The pipeline against plain Python, stage by stage, on the smallest tables."""
 
+import random
+import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 import duckdb
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemill.llm import decontaminate, line_dedup, quality_rules
-from tidemill.llm.common import words_of
 
 from ..conftest import SF
-from .helpers import awkward
+from .helpers import awkward, documents, prose
 from .test_similar import brute_similar
+from .test_text import brute_tiles
 
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+def brute_quality(text):
+    """The cleaned text of a document, or None if it is rejected."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = Counter(zip(words, words[1:], words[2:], strict=False))
+    again = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    if len(words) < 50 or 2 * len(again) > len(words):
+        return None
+    stays, lost = [], 0
+    for line in text.split("\n"):
+        own = re.findall(r"[^\x20\x09-\x0D]+", line)
+        chars, ended = sum(map(len, own)), bool(own) and own[-1].endswith(quality_rules.TERMINAL)
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), " ".join(own))
+        separators, symbols = (sum(c in of for c in line) for of in (quality_rules.SEPARATORS, quality_rules.SYMBOLS))
+        navigation = separators >= 2 and not ended or set(low.split(" ")) <= set(quality_rules.NAVIGATION)
+        if own and (navigation or 10 * symbols > chars or len(own) < 4 and not ended or any(p in low for p in quality_rules.BOILERPLATE)):
+            lost += chars
+        else:
+            stays.append(line)
+    return "\n".join(stays) if lost <= 0.4 * sum(map(len, words)) else None
+
+
 def brute_lines(docs):
-    """(id, text, source) after boilerplate lines go."""
-    sites, seen = Counter(s for _, _, s in docs), Counter()
-    for _, text, s in docs:
+    """(id, text, source) after boilerplate lines go; copies of a text count once."""
+    texts = {(t, s) for _, t, s in docs}
+    sites, seen = Counter(s for _, s in texts), Counter()
+    for text, s in texts:
         seen.update({(s, line.strip(BLANKS)) for line in text.split("\n") if line.strip(BLANKS)})
     bad = {k for k, n in seen.items() if n >= line_dedup.MIN_DOCS and n > line_dedup.MAX_RATIO * sites[k[0]]}
     return [(i, "\n".join(x for x in text.split("\n") if (s, x.strip(BLANKS)) not in bad), s) for i, text, s in docs]
@@ -31,13 +56,15 @@ def grams(tokens, n=decontaminate.MIN_MATCH):
 
 
 def brute_clean(docs, items):
-    tokens = {i: words_of([decontaminate.normalised(t)])[0] for i, t, _ in docs}
-    bench = [words_of([decontaminate.normalised(t)])[0] for t in items]
+    bench = [tokens for t in items if len(tokens := re.findall("[0-9a-z\x80-\U0010ffff]+", t.lower())) >= 5]
+    seeds = [grams(item) for item in bench]
     bad = set()
-    for i, own in tokens.items():
-        mine = grams(own.tolist())
-        for item in bench:
-            if mine & grams(item.tolist()) and sum(n for _, _, n in decontaminate.tiles(item, own)) >= decontaminate.MIN_COVERAGE * len(item):
+    for i, text, _ in docs:
+        own = re.findall("[0-9a-z\x80-\U0010ffff]+", text.lower())
+        mine = grams(own)
+        for item, theirs in zip(bench, seeds, strict=True):
+            # At most five tokens for each shared window: without enough of them there is nothing to tile.
+            if 10 * len(mine & theirs) >= len(item) and 2 * sum(n for _, _, n in brute_tiles(item, own)) >= len(item):
                 bad.add(i)
     return [d for d in docs if d[0] not in bad]
 
@@ -45,8 +72,7 @@ def brute_clean(docs, items):
 def test_pipeline_against_plain_python(spark):
     base = duckdb.connect()
     docs = [(i, t or "", s) for i, t, s in base.sql(f"SELECT doc_id, text, source FROM '{SF}/documents.parquet'").fetchall()]
-    rated = [(i, quality_rules.measure(t), s) for i, t, s in docs]
-    docs = brute_lines([(i, m[8], s) for i, m, s in rated if m[6]])
+    docs = brute_lines([(i, cleaned, s) for i, t, s in docs if (cleaned := brute_quality(t)) is not None])
     roots = brute_similar({i: t for i, t, _ in docs})
     docs = [d for d in docs if roots[d[0]] == d[0]]
     docs = brute_clean(docs, [t for (t,) in base.sql(f"SELECT text FROM '{SF}/benchmark.parquet'").fetchall()])
@@ -67,7 +93,19 @@ def test_pipeline_against_plain_python(spark):
 
 
 def test_stages_keep_the_columns(spark):
-    docs = awkward(spark)
+    """Names that clash with any that the stages use: the columns and their values stay, as whole rows."""
+    rng = random.Random(4)
+    texts = [prose(rng, 80) + "\nshared line of the site, with a full stop." for _ in range(12)]
+    plain = documents(spark, [*texts, texts[0], None, ""])
+    extra = [c for c in awkward(spark).columns if c not in plain.columns]
+    docs = plain.select("*", *[F.concat(F.lit(f"{name} "), F.col("doc_id").cast("string")).alias(name) for name in extra])
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, SF).columns == docs.columns, name
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 7
+        kept = stage(spark, docs, SF)
+        assert kept.schema == docs.schema or [(f.name, f.dataType) for f in kept.schema] == [(f.name, f.dataType) for f in docs.schema], name
+        rows = kept.collect()
+        assert rows, name
+        for r in rows:
+            assert all(r[c] == f"{c} {r['doc_id']}" for c in extra), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 15
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, awkward(spark), SF).columns == awkward(spark).columns

@@ -24,14 +24,14 @@ def components(links: DataFrame) -> DataFrame:
     while (state := _state(now)) != last:
         last = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links-least")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "links-large")
-        small_least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "links-least")
+        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         old, now, rounds = now, cut(small, "links"), rounds + 1
-        for x in (old, least, large, small_least):
+        for x in (old, large):
             drop_cut(x)
     roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("v"), "root")
     return roots.union(roots.select(F.col("root").alias("v"), "root").distinct())
