@@ -6,7 +6,7 @@ Lines without a word are never removed. Each row counts as a document of its own
 with by_text, each distinct text of a site counts once, so that copies don't make their own lines boilerplate; null text is empty; a null site is a site like any other. Lines are known by 64-bit hashes.
 
 Only DataFrame functions run here. The lines travel as hashes, never as text, and documents are not shuffled while the
-boilerplate fits BROADCAST_LINES; beyond that the boilerplate is joined by site, and large sites can be split. A site's
+boilerplate fits BROADCAST_LINES; beyond that the boilerplate is joined by site and one of PARTS parts of it. A site's
 list stays short: a document has few lines, and each listed line fills over max_ratio of the documents.
 """
 
@@ -20,6 +20,8 @@ from .common import cut, fresh, text_or_empty
 MAX_RATIO, MIN_DOCS = 0.1, 3
 #: Boilerplate lines of all sites together that are broadcast, 8 bytes each and the site's name.
 BROADCAST_LINES = 500_000
+#: Parts that each site's documents are dealt to where the boilerplate is joined.
+PARTS = 64
 
 BLANK_EDGES = "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$"
 
@@ -55,12 +57,16 @@ def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_docs: int = M
 def _marked(docs: DataFrame, max_ratio: float, min_docs: int, site: str, by_text: bool) -> tuple[DataFrame, Column, Column]:
     """docs with a column of the lines that stay, those lines, and all lines."""
     bad = boilerplate(docs, max_ratio, min_docs, site, by_text)
-    own_site, own_bad, own_stay = fresh(docs, "site", "bad", "stay")
+    own_site, own_bad, own_stay, own_part = fresh(docs, "site", "bad", "stay", "part")
     lists = cut(bad.groupBy("site").agg(F.collect_set("line").alias(own_bad)), "line-sites")
     n = lists.agg(F.sum(F.size(own_bad))).head()[0] or 0
     lists = lists.withColumnRenamed("site", own_site)
-    lists = F.broadcast(lists) if n <= BROADCAST_LINES else lists
-    joined = docs.join(lists, F.col(f"`{site}`").cast("string").eqNullSafe(F.col(own_site)), "left")
+    same = F.col(f"`{site}`").cast("string").eqNullSafe(F.col(own_site))
+    if n <= BROADCAST_LINES:
+        joined = docs.join(F.broadcast(lists), same, "left")
+    else:  # a site may hold a third of the documents: its list, which is short, goes to many parts
+        lists = lists.withColumn(own_part, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        joined = docs.join(lists, same & (F.pmod(F.xxhash64(text_or_empty()), F.lit(PARTS)).cast("int") == F.col(own_part)), "left")
     lines = _lines(text_or_empty())
     stays = F.filter(lines, lambda x: ~(_has_word(x) & F.array_contains(F.col(own_bad), _key(x))))
     return joined.withColumn(own_stay, F.when(F.col(own_bad).isNull(), lines).otherwise(stays)), F.col(own_stay), lines

@@ -5,7 +5,7 @@ Every line with a word is tried against three rules. A line fails
   of the characters in its words are of # * $ % & | < >,
 * by navigation, if it has two or more separators (| > » › • ·) and no terminal punctuation at its end,
   or if all its words are navigation words,
-* by boilerplate, if it contains a boilerplate phrase.
+* by boilerplate, if it contains a boilerplate phrase. Words and phrases are English, German, French and Spanish.
 Failing lines are removed. A document that loses over max_lost of the characters in its words is rejected,
 and so is one that fails the base rules: under 50 words, or over half its words in repeated 3-word windows.
 
@@ -28,8 +28,18 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 TERMINAL = (".", "!", "?", ":", ";", '"', "'", ")", "”", "’", "»", "…", "。", "！", "？", "؟", "।")
 SEPARATORS = ("|", ">", "»", "›", "•", "·")
-NAVIGATION = ("home", "about", "contact", "login", "logout", "register", "menu", "search", "next", "previous", "back", "top", "help", "faq", "sitemap", "share", "tweet", "print", "us", "sign", "in", "up", "more", "read")
-BOILERPLATE = ("all rights reserved", "cookie", "privacy policy", "terms of use", "terms of service", "javascript", "lorem ipsum", "click here", "subscribe to our", "powered by", "skip to content", "copyright ©")
+NAVIGATION = (
+    *("home", "about", "contact", "login", "logout", "register", "menu", "search", "next", "previous", "back", "top", "help", "faq", "sitemap", "share", "tweet", "print", "us", "sign", "in", "up", "more", "read"),
+    *("startseite", "kontakt", "anmelden", "abmelden", "suche", "weiter", "hilfe", "teilen", "drucken", "mehr"),
+    *("accueil", "connexion", "inscription", "recherche", "suivant", "retour", "aide", "partager", "imprimer", "plus"),
+    *("inicio", "contacto", "acceder", "buscar", "siguiente", "anterior", "volver", "ayuda", "compartir", "imprimir"),
+)
+BOILERPLATE = (
+    *("all rights reserved", "cookie", "privacy policy", "terms of use", "terms of service", "javascript", "lorem ipsum", "click here", "subscribe to our", "powered by", "skip to content", "copyright ©"),
+    *("alle rechte vorbehalten", "hier klicken", "impressum", "nutzungsbedingungen"),
+    *("tous droits", "cliquez ici", "politique de confidentialit", "conditions d'utilisation"),
+    *("todos los derechos reservados", "haga clic", "aviso legal", "condiciones de uso"),
+)
 MIN_WORDS, SHORT_LINE, MAX_LOST = 50, 4, 0.4
 
 COUNTS = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType())]

@@ -135,8 +135,8 @@ def named(prints: DataFrame, nodes: DataFrame, found: DataFrame, node: str) -> D
     labelled = nodes.join(roots, nodes[node] == roots["v"], "left").select(node, "first", F.coalesce("root", node).alias("root"))
     labelled = cut(labelled, "ring-labels")
     names = cut(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "ring-names")
-    final = cut(labelled.join(names, "root").select(node, "component_id"), "ring-final")
-    return prints.join(final, node).select(*prints.columns, "component_id")
+    final = cut(labelled.join(few(names), "root").select(node, "component_id"), "ring-final")
+    return prints.join(few(final), node).select(*prints.columns, "component_id")
 
 
 def cluster(prints: DataFrame) -> DataFrame:

@@ -351,8 +351,8 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY,
     nodes = rows.drop("doc_id", "mark", "twin").withColumnRenamed("row", "node").join(few(texts), "node")
     roots = links(docs, nodes, shingle, least, most)
     labelled = cut(texts.join(roots, "node", "left").select("mark", "twin", "first", F.coalesce("root", "node").alias("root")), "similar-labelled")
-    names = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = cut(labelled.join(names, "root").select("mark", "twin", "component_id"), "similar-named")
+    names = cut(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "similar-names")
+    named = cut(labelled.join(few(names), "root").select("mark", "twin", "component_id"), "similar-named")
     return rows.select("doc_id", "mark", "twin").join(few(named), ["mark", "twin"]).select("doc_id", "mark", "component_id")
 
 
