@@ -49,9 +49,9 @@ def in_stream_order(stream: DataFrame) -> DataFrame:
         done, positions, uris, payloads = state.get if state.exists else (0, [], [], [])
         waiting = {p: (u, x) for p, u, x in zip(positions, uris, payloads, strict=True)}
         for rows in batches:
-            for r in rows.itertuples():
-                if r.stream_position > done:
-                    waiting.setdefault(int(r.stream_position), (r.uri, r.payload))
+            later = rows[rows["stream_position"] > done].drop_duplicates("stream_position")
+            new = zip(later["stream_position"].tolist(), zip(later["uri"], later["payload"], strict=True), strict=True)
+            waiting = dict(new) | waiting
         out = []
         while done + 1 in waiting:
             done += 1
