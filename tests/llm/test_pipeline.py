@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemill.llm import decontaminate, line_dedup, quality_rules
+from tidemill.llm import decontaminate, line_dedup, quality_rules, queries
 
 from ..conftest import SF
 from .helpers import awkward, documents, prose
@@ -92,6 +92,22 @@ def test_pipeline_against_plain_python(spark):
     assert len(bins) <= -(-sum(want.values()) // 1024) + 2
 
 
+def test_contaminated_pairs_of_a_whole_table(spark):
+    """Every document against every item, tiled by plain Python."""
+    base = duckdb.connect()
+    words = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    items = {i: w for i, t in base.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall() if len(w := words(t)) >= 5}
+    want = {}
+    for i, t in base.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall():
+        own = words(t)
+        mine = grams(own)
+        for k, item in items.items():
+            if 10 * len(mine & grams(item)) >= len(item) and 2 * (n := sum(x for _, _, x in brute_tiles(item, own))) >= len(item):
+                want[i, k] = n
+    got = {(r["doc_id"], r["item_id"]): r["covered_tokens"] for r in queries.op1_decontamination(spark, SF).collect()}
+    assert got == want and want
+
+
 def test_stages_keep_the_columns(spark):
     """Names that clash with any that the stages use: the columns and their values stay, as whole rows."""
     rng = random.Random(4)

@@ -3,7 +3,8 @@
 Each bin takes the longest piece left and, with it, the combination of the lengths left that comes nearest to the
 capacity: a subset-sum over the available lengths, the reachable sums being the bits of one integer. The combination is
 then removed. Where the counts allow, the same combination serves as many bins as they last for, since it stays the
-fullest one until one of its lengths runs short. The plan's size follows the number of lengths, not of pieces.
+fullest one until one of its lengths runs short. The plan's size follows the number of lengths, not of pieces. Of
+combinations of one sum, the order of lengths fixes which is taken; pieces of one length take its places in any order.
 """
 
 from __future__ import annotations

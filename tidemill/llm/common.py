@@ -18,9 +18,14 @@ CHUNK = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or the warehouse where it is unset."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir, or the warehouse where it is unset. On a cluster a
+    warehouse in a local folder is an error, as executors don't see each other's."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (where or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
+    if not where:
+        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        if not spark.sparkContext.master.startswith("local") and (where.startswith("file:") or "://" not in where):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return where.rstrip("/")
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
@@ -89,8 +94,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, and so the memory of a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bounds the rows of an Arrow batch, and so the memory of a Python worker. The option is the session's from then on, as
+    it is read when a query runs; a lower one stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 def text_or_empty(name: str = "text") -> Column:

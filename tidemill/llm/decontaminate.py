@@ -13,7 +13,8 @@ or empty texts, and empty tables contaminate nothing. Repeated items and documen
 any length are tiled whole.
 
 The benchmark is the query set of this search. It is cut into blocks of at most BLOCK_WORDS tokens (one longer item is a
-block of its own), and every block runs against all documents, with nothing but that block in memory.
+block of its own), and every block runs against all documents, with nothing but that block in a task's memory. The driver
+reads the benchmark row by row, and holds one block at a time beside what Spark keeps of the broadcast ones.
 """
 
 from __future__ import annotations

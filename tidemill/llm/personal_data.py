@@ -12,7 +12,7 @@ From those, expectation-maximisation estimates the labelers' reliabilities per k
 logistic regression on the same traits, trained on those probabilities, is the final span classifier.
 
 Base spans always stay. A wider span is added if the classifier gives it MIN_PROBABILITY and if it meets no base span. Null text is empty and has no spans; repeated rows, null ids and
-empty tables are plain cases.
+empty tables are plain cases, and texts of any length are searched whole.
 """
 
 from __future__ import annotations

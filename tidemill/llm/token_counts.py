@@ -4,7 +4,8 @@ Each worker splits its batches into pre-tokens, holds the distinct ones as ragge
 its lowest-ranked pair at once, round after round, and counts the symbols that survive. Counts are those of the
 tokenizers library with add_special_tokens=False: added tokens inside a text count as one. Nothing is truncated.
 
-Null and empty texts have no bytes and no tokens. One row per row; ids may be null or repeated.
+Null and empty texts have no bytes and no tokens. One row per row; ids may be null or repeated. An empty table stays
+empty; long texts are cut where pre-tokens start, and counted whole.
 """
 
 from __future__ import annotations
