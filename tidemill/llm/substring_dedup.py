@@ -127,9 +127,12 @@ def _extended(candidates: DataFrame, window: int, length: int, longer: int) -> D
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, hash, twin, ...) of hashes in two documents or more, with the first of them: sums before any join."""
+    """rows (doc_id, hash, twin, ...) of hashes in two documents or more, with the first of them: sums before any join.
+
+    The join is by sorting whatever the size is, so that hashes that are in many documents can be split.
+    """
     firsts = rows.groupBy("hash", "twin").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "twin", "first")
-    return rows.join(few(cut(firsts, "repeated")), ["hash", "twin"])
+    return rows.join(cut(firsts, "repeated").hint("merge"), ["hash", "twin"])
 
 
 def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
