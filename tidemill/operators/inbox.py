@@ -165,7 +165,8 @@ class Inbox:
 
     def dispatch_wave(self, handler: Callable[[DataFrame], None], worker: int = 0, workers: int = 1) -> bool:
         """Hands all eligible messages to handler at once and marks them as processed: one job for each depth of
-        dependencies instead of one for each message."""
+        dependencies instead of one for each message. Processed positions are those of the wave after all before it; waves of
+        workers that run at the same time can have equal ones."""
         ready = self.eligible(worker, workers)
         if not ready.limit(1).count():
             return False
