@@ -11,7 +11,8 @@ Only whole windows that chose a repeated one are looked at again, at twice the l
 length is reached; twice that length would remove nothing more.
 
 Documents with one and the same word sequence are one document to all levels, the one with the smallest id; of the
-others every word goes if there are WINDOW of them. Whole windows are known by two 64-bit hashes and sequences by SHA-256;
+others every word goes if there are WINDOW of them. Whole windows are known by two 64-bit hashes (by one where there is
+only one level) and sequences by SHA-256;
 the shorter windows by one, as a false repeat there only makes a candidate more. Texts are fetched for candidates alone.
 
 Null text has no words. Rows with a null id lose nothing and take nothing from others. Rows with the same id are
