@@ -177,6 +177,15 @@ def test_inbox(spark, tmp_path):
     assert box.read().count() == 0
 
 
+def test_next_message_of_equal_positions(spark):
+    """Of messages received at one position the least key is next, in whatever order the rows come."""
+    rows = [("t", s, "{}", 1, 7) for s in ("C", "A", "B")]
+    schema = "tenant_id string, stream_type string, stream_id string, stream_position bigint, received_position bigint"
+    for given in (rows, rows[::-1], rows[1:] + rows[:1]):
+        table = spark.createDataFrame(given, schema).coalesce(1)
+        assert [r["stream_type"] for r in i.next_message(table, i.predecessor_edges(table), table.limit(0)).collect()] == ["A"]
+
+
 def test_inbox_failure_and_waves(spark, tmp_path):
     box = i.Inbox(spark, f"{tmp_path}/in").setup()
     box.publish(spark.createDataFrame([message("A", 1, 1), message("B", 1, 2), message("A", 2, 3, [("A", 1), ("B", 1)])], INBOX))

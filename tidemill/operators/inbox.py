@@ -59,8 +59,8 @@ def eligible(messages: DataFrame, edges: DataFrame, acks: DataFrame) -> DataFram
 
 
 def next_message(messages: DataFrame, edges: DataFrame, acks: DataFrame) -> DataFrame:
-    """The eligible message received first, or no row."""
-    return eligible(messages, edges, acks).orderBy("received_position").limit(1)
+    """The eligible message received first, or no row; of those received at one position, the one with the least key."""
+    return eligible(messages, edges, acks).orderBy("received_position", *KEY).limit(1)
 
 
 def drain_order(messages: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ class Inbox:
 
     def dispatch(self, handler: Callable[[Row], None], worker: int = 0, workers: int = 1) -> bool:
         """Hands the next message to handler and marks it as processed; False if none is eligible. An error leaves it first."""
-        rows = self.eligible(worker, workers).orderBy("received_position").limit(1).collect()
+        rows = self.eligible(worker, workers).orderBy("received_position", *KEY).limit(1).collect()
         if not rows:
             return False
         with unit_of_work(self.acks) as (n,):
@@ -214,7 +214,7 @@ class Inbox:
         """Eligible message after message, in the order received; a message is acknowledged when the next one is asked for,
         and not if the iterator is closed before. With nothing eligible it waits, until stop() says so."""
         while not stop():
-            row = self.eligible().orderBy("received_position").limit(1).collect()
+            row = self.eligible().orderBy("received_position", *KEY).limit(1).collect()
             if row:
                 yield row[0]
                 self._processed(row[0])
