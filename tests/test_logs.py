@@ -186,6 +186,16 @@ def test_next_message_of_equal_positions(spark):
         assert [r["stream_type"] for r in i.next_message(table, i.predecessor_edges(table), table.limit(0)).collect()] == ["A"]
 
 
+def test_inbox_numbers_of_equal_arrivals(spark, tmp_path):
+    """Messages of one arrival are numbered by key, however many tasks they come from."""
+    rows = [(*message(f"S{n:02}", 1, n), n // 20) for n in range(40)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    box = i.Inbox(spark, f"{tmp_path}/in").setup()
+    box.publish(spark.createDataFrame(rows[::-1], f"{INBOX}, arrival int"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r["stream_type"] for r in box.read().orderBy("received_position").collect()] == [r[1] for r in rows]
+
+
 def test_inbox_failure_and_waves(spark, tmp_path):
     box = i.Inbox(spark, f"{tmp_path}/in").setup()
     box.publish(spark.createDataFrame([message("A", 1, 1), message("B", 1, 2), message("A", 2, 3, [("A", 1), ("B", 1)])], INBOX))

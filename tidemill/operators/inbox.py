@@ -123,8 +123,8 @@ class Inbox:
         return max(last, self.acks.read().agg(F.max("processed_position").alias("m")).head()["m"] or 0)
 
     def publish(self, rows: DataFrame) -> None:
-        """Stores messages whose key is new, in the order of the column arrival if there is one. Repeats are ignored; an
-        event id under another key is an error, and nothing is stored then."""
+        """Stores messages whose key is new, in the order of the column arrival if there is one, those of one arrival by
+        key. Repeats are ignored; an event id under another key is an error, and nothing is stored then."""
         canonical = rows.withColumn("stream_id", json_keys.canonical(F.col("stream_id")))
         order = F.col("arrival") if "arrival" in rows.columns else F.monotonically_increasing_id()
         start, stored = self._last(), self.messages.read()
@@ -137,7 +137,7 @@ class Inbox:
         # Numbers in order without one task for all rows: a number within each sorted part, after the parts before it.
         # The parts are written first, so that counting and numbering see the same ones.
         staged = f"{self.path}/staged/{uuid.uuid4().hex}"
-        fresh.orderBy("received_position").withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}).write.parquet(staged)
+        fresh.orderBy("received_position", *KEY).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}).write.parquet(staged)
         parts = self.spark.read.parquet(staged)
         counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
         before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n"))  # a row per part
