@@ -68,6 +68,36 @@ def test_outbox(spark, tmp_path):
     assert box.drain(handler, group="g") == 2 and len(got) == 6  # a position can go back
 
 
+def test_drain_reads_the_log_once_for_many_batches(spark, tmp_path, monkeypatch):
+    """Batches are whole and in order, also where they share folders; what comes meanwhile and positions that others write count."""
+    monkeypatch.setattr(o, "FOLDERS", 3)
+    box = o.Outbox(spark, f"{tmp_path}/box", batch_size=2).setup()
+    for n in (0, 10):
+        publish(box, messages(spark, *[("u/x" if k % 2 else "u", n + k) for k in range(10)]).repartition(3))
+    reads, whole = [], o.Outbox.read
+    monkeypatch.setattr(o.Outbox, "read", lambda self: reads.append(1) or whole(self))
+    got = []
+
+    def handler(rows):
+        got.append([(r["transaction_id"], r["position"]) for r in rows.collect()])
+        if len(got) == 3:
+            publish(box, messages(spark, ("u", 20)))
+
+    assert box.drain(handler, group="g", uri="u") == 11 and len(reads) == 3
+    assert [len(b) for b in got] == [2] * 10 + [1]
+    assert sum(got, []) == sorted(tuple(r) for r in whole(box).select("transaction_id", "position").collect())
+    other, taken = o.Outbox(spark, f"{tmp_path}/box").setup(), []
+
+    def back():
+        if len(taken) == 4:
+            other.set_position(*o.START, "h")
+        return len(taken) == 6
+
+    assert box.drain(lambda rows: taken.append([(r["transaction_id"], r["position"]) for r in rows.collect()]), back, group="h") == 6
+    assert taken == got[:4] + got[:2]
+    assert not list((tmp_path / "box/staged").iterdir())
+
+
 def test_outbox_errors_and_visibility(spark, tmp_path):
     box = o.Outbox(spark, f"{tmp_path}/box").setup()
     publish(box, messages(spark, ("u", 1)))

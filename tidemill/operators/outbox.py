@@ -7,10 +7,11 @@ Delivery is at least once: a batch's position is written after its handler has r
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import json_keys
@@ -20,6 +21,7 @@ from ..sources.log_tables import LogTable, latest
 MESSAGES = "position bigint, transaction_id decimal(20,0), uri string, payload string, metadata string, event_id string, created_at timestamp"
 OFFSETS = "consumer_group string, uri string, offset_acked bigint, last_processed_transaction_id decimal(20,0), updated_at timestamp"
 BATCH = 100
+FOLDERS = 1000  # at most so many folders for the batches of a round of drain
 START = (Decimal(0), 0)
 
 
@@ -80,7 +82,7 @@ class Outbox:
     """Messages and positions in log tables under a folder. A message's transaction is its commit."""
 
     def __init__(self, spark: SparkSession, path: str, batch_size: int = BATCH):
-        self.spark, self.batch_size = spark, batch_size
+        self.spark, self.path, self.batch_size = spark, path, batch_size
         self.messages = LogTable(spark, f"{path}/messages", MESSAGES)
         self.offsets = LogTable(spark, f"{path}/offsets", OFFSETS)
 
@@ -99,9 +101,10 @@ class Outbox:
         """
         rows = rows.withColumn("event_id", json_keys.event_id(F.col("metadata")))
         ids = rows.groupBy("event_id").agg(F.count("*").alias("n"))
-        if not ids.where(~json_keys.valid_uuid(F.col("event_id"))).isEmpty():
+        found = ids.agg(F.bool_or(~json_keys.valid_uuid(F.col("event_id"))).alias("bad"), F.max("n").alias("n")).head()
+        if found["bad"]:
             raise ValueError("event_id is not a UUID")
-        if not ids.where("n > 1").isEmpty() or not self.known(ids).isEmpty():
+        if (found["n"] or 0) > 1 or not self.known(ids).isEmpty():
             raise ValueError("duplicate event_id")
         place = F.monotonically_increasing_id() + 1
         when = F.col("created_at") if "created_at" in rows.columns else F.current_timestamp()
@@ -119,10 +122,10 @@ class Outbox:
         rows = positions(self.offsets.read()).where((F.col("consumer_group") == group) & (F.col("uri") == uri)).collect()
         return (rows[0]["last_processed_transaction_id"], rows[0]["offset_acked"]) if rows else START
 
-    def set_position(self, transaction_id, position: int, group: str = "", uri: str = "") -> None:
-        """Writes a group's position, whatever it was before."""
+    def set_position(self, transaction_id, position: int, group: str = "", uri: str = "") -> int:
+        """Writes a group's position, whatever it was before, and returns the commit's number."""
         row = self.spark.range(1).select(F.lit(group).alias("consumer_group"), F.lit(uri).alias("uri"), F.lit(position).alias("offset_acked"), txid(transaction_id).alias("last_processed_transaction_id"), F.current_timestamp().alias("updated_at"))
-        self.offsets.append(row)
+        return self.offsets.append(row)
 
     def ensure_group(self, group: str, uri: str = "") -> None:
         """Starts a group that is unknown at the beginning."""
@@ -145,13 +148,57 @@ class Outbox:
         self.set_position(last["transaction_id"], last["position"], own, uri)
         return True
 
-    def drain(self, handler: Callable[[DataFrame], None], stop: Callable[[], bool] = lambda: False, **options) -> int:
-        """Dispatches until nothing is left or stop() says so, and returns the number of batches."""
-        n = 0
-        while not stop() and self.dispatch(handler, **options):
-            n += 1
+    def drain(self, handler: Callable[[DataFrame], None], stop: Callable[[], bool] = lambda: False, group: str = "", uri: str = "", worker: int = 0, workers: int = 1) -> int:
+        """Dispatches until nothing is left or stop() says so, and returns the number of batches.
+
+        What is pending is sorted and cut into batches once for all of them, and then again for what has come meanwhile, so
+        that the log isn't read for each batch. A batch can be read until its handler returns. A position that someone else
+        writes counts from the next batch on.
+        """
+        own, n, stopped = group_of_worker(group, worker, workers), 0, stop()
+        while not stopped:
+            self.ensure_group(own, uri)
+            rows = pending(self.read(), self.get_position(own, uri), self.messages.horizon(), uri, worker, workers)
+            staged, before = f"{self.path}/staged/{uuid.uuid4().hex}", n
+            try:
+                for part, last in self._cut(rows, staged):
+                    handler(part)
+                    written = self.set_position(last["transaction_id"], last["position"], own, uri)
+                    n, stopped = n + 1, stop()
+                    if stopped or self._moved(written, own, uri):
+                        break
+            finally:
+                self.messages.delete(staged)
+            if n == before:
+                break
         return n
 
+    def _moved(self, written: int, group: str, uri: str) -> bool:
+        """Whether a group has a position written after a commit."""
+        return self.offsets.settled_after(written) and not self.offsets.read(written).where((F.col("consumer_group") == group) & (F.col("uri") == uri)).isEmpty()
+
+    def _cut(self, rows: DataFrame, staged: str) -> Iterator[tuple[DataFrame, Row]]:
+        """Batch after batch of rows in order, each with its last place. Every batch is in one folder, which others may share
+        where there are more batches than folders."""
+        # Numbers in order without one task for all rows: a number within each sorted part, after the parts before it.
+        # The parts are written first, so that counting and numbering see the same ones.
+        rows.orderBy("transaction_id", "position").withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}).write.parquet(f"{staged}/sorted")
+        parts = self.spark.read.parquet(f"{staged}/sorted")
+        counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
+        before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n"))  # a row per part
+        number = F.col("__before") + (F.col("__i") - F.shiftleft(F.col("__p").cast("bigint"), 33))
+        total = counts.agg(F.sum("__n").alias("n")).head()["n"]
+        if not total:
+            return
+        shared = -(-total // (self.batch_size * FOLDERS))
+        numbered = parts.join(F.broadcast(before), "__p").withColumn("__batch", F.floor(number / self.batch_size))
+        numbered.drop("__p", "__i", "__before").withColumn("__folder", F.floor(F.col("__batch") / shared)).write.partitionBy("__folder").parquet(f"{staged}/batches")
+        schema = self.spark.read.parquet(f"{staged}/batches").drop("__folder").schema
+        for k in range(-(-total // self.batch_size)):
+            part = self.spark.read.schema(schema).parquet(f"{staged}/batches/__folder={k // shared}").where(F.col("__batch") == k).drop("__batch")
+            last = part.agg(F.max(F.struct("transaction_id", "position")).alias("m")).head()["m"]
+            yield part.coalesce(1).sortWithinPartitions("transaction_id", "position"), last  # one batch
+
     def iterate(self, group: str = "", uri: str = "") -> Iterator[Row]:
         """Message after message; a message is acknowledged when the next one is asked for."""
         self.ensure_group(group, uri)
