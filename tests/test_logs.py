@@ -243,6 +243,28 @@ def test_inbox_failure_and_waves(spark, tmp_path):
     assert sorted(box.eligible(w, 2).count() for w in range(2)) == [0, 0]
 
 
+def test_inbox_works_nothing_out_twice(spark, tmp_path):
+    """What is published is evaluated once, and a wave is a table that was written, not a plan."""
+    box, seen = i.Inbox(spark, f"{tmp_path}/in").setup(), spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = spark.createDataFrame([message("A", n, n, [("A", n - 1)] if n % 2 == 0 else []) for n in range(1, 21)], INBOX).withColumn("metadata", F.udf(counted)("metadata"))
+    box.publish(rows)
+    assert seen.value == 20
+    plans, sizes = [], []
+
+    def handler(wave):
+        plans.append(wave._jdf.queryExecution().optimizedPlan().toString())
+        sizes.append(wave.count())
+
+    assert box.drain_waves(handler) == 2 and sizes == [10, 10]
+    assert not [p for p in plans if "Join" in p]
+    assert not list((tmp_path / "in/staged").iterdir())
+
+
 def test_inbox_iterator(spark, tmp_path):
     """A message is acknowledged when the next one is asked for; an iterator that is closed leaves the one in hand."""
     box = i.Inbox(spark, f"{tmp_path}/in").setup()

@@ -130,20 +130,28 @@ class Inbox:
         start, stored = self._last(), self.messages.read()
         named = canonical.withColumns({"received_position": order, "event_id": json_keys.event_id(F.col("metadata"))})
         fresh = first_arrivals(named).join(stored.select(*KEY), KEY, "left_anti")
-        # Only stored messages with one of these event ids matter.
-        met = stored.select(*KEY, "event_id").join(fresh.select("event_id").distinct(), "event_id", "left_semi")
-        if not event_id_conflicts(met.unionByName(fresh.select(*KEY, "event_id")), F.col("event_id")).isEmpty():
-            raise ValueError("duplicate event_id under another key")
         # Numbers in order without one task for all rows: a number within each sorted part, after the parts before it.
-        # The parts are written first, so that counting and numbering see the same ones.
+        # The parts are written first, so that checking, counting and numbering see the same ones and work none out again.
         staged = f"{self.path}/staged/{uuid.uuid4().hex}"
-        fresh.orderBy("received_position", *KEY).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}).write.parquet(staged)
-        parts = self.spark.read.parquet(staged)
-        counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
-        before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n"))  # a row per part
-        number = F.lit(start) + F.col("__before") + (F.col("__i") - F.shiftleft(F.col("__p").cast("bigint"), 33)) + 1
-        self.messages.append(parts.join(before, "__p").withColumn("received_position", number))
-        self.messages.delete(staged)
+        try:
+            fresh.orderBy("received_position", *KEY).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}).write.parquet(staged)
+            parts = self.spark.read.parquet(staged)
+            self._check_event_ids(parts, stored)
+            counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
+            before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n"))  # a row per part
+            number = F.lit(start) + F.col("__before") + (F.col("__i") - F.shiftleft(F.col("__p").cast("bigint"), 33)) + 1
+            self.messages.append(parts.join(F.broadcast(before), "__p").withColumn("received_position", number))
+        finally:
+            self.messages.delete(staged)
+
+    def _check_event_ids(self, fresh: DataFrame, stored: DataFrame) -> None:
+        """An error if an event id of new messages is that of another key."""
+        # Only stored messages with one of these event ids matter, and of all of them only ids that stand in two rows.
+        met = stored.select(*KEY, "event_id").join(fresh.select("event_id").distinct(), "event_id", "left_semi")
+        both = met.unionByName(fresh.select(*KEY, "event_id"))
+        repeated = both.where("event_id is not null").groupBy("event_id").agg(F.count("*").alias("n")).where("n > 1")
+        if not repeated.isEmpty() and not event_id_conflicts(both.join(repeated, "event_id", "left_semi"), F.col("event_id")).isEmpty():
+            raise ValueError("duplicate event_id under another key")
 
     def read(self) -> DataFrame:
         return self.messages.read().drop("commit_id")
@@ -165,16 +173,22 @@ class Inbox:
 
     def dispatch_wave(self, handler: Callable[[DataFrame], None], worker: int = 0, workers: int = 1) -> bool:
         """Hands all eligible messages to handler at once and marks them as processed: one job for each depth of
-        dependencies instead of one for each message. Processed positions are those of the wave after all before it; waves of
-        workers that run at the same time can have equal ones."""
-        ready = self.eligible(worker, workers)
-        if not ready.limit(1).count():
-            return False
-        start = self._last()
-        with unit_of_work(self.acks) as (n,):
-            handler(ready)
-            self.acks.write(n, ready.withColumn("processed_position", F.col("received_position") + start))
-        return True
+        dependencies instead of one for each message. A wave can be read until its handler returns. Processed positions are
+        those of the wave after all before it; waves of workers that run at the same time can have equal ones."""
+        staged = f"{self.path}/staged/{uuid.uuid4().hex}"
+        try:
+            # Written once: what is eligible isn't worked out again for the handler and the acknowledgements.
+            self.eligible(worker, workers).write.parquet(staged)
+            ready = self.spark.read.parquet(staged)
+            if ready.isEmpty():
+                return False
+            start = self._last()
+            with unit_of_work(self.acks) as (n,):
+                handler(ready)
+                self.acks.write(n, ready.withColumn("processed_position", F.col("received_position") + start))
+            return True
+        finally:
+            self.messages.delete(staged)
 
     def drain(self, handler: Callable[[Row], None], stop: Callable[[], bool] = lambda: False, **options) -> int:
         n = 0
